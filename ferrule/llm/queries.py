@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import batch_linkage, canonical
+from ferrule.llm import batch_linkage, canonical, language, leakage
 from ferrule.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,24 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     got = canonical.status_states(*(table(spark, d, t) for t in ("applications", "status_events", "states")))
     return got.select("tab", "row_id", "state").distinct()
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "golden_cases")).select("doc_id", "case_no").distinct()
+
+
+@query("p8_passages")
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "golden_cases"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(table(spark, d, "documents")).select("doc_id", "lang").distinct()
+
+
+@query("p10_segments")
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.segments(documents, language.fit(documents, "text", "lang"))
