@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import batch_linkage, canonical, language, leakage
+from ferrule.llm import batch_linkage, canonical, language, leakage, mixture
 from ferrule.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return language.segments(documents, language.fit(documents, "text", "lang"))
+
+
+@query("p9_mixture")
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
