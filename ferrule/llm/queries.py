@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import batch_linkage, canonical, language, leakage, mixture
+from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake
 from ferrule.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_cells(table(spark, d, "applications"), "id", ["notes", "company", "role"]).select("id", "field").distinct()
+
+
+@query("p4_restored")
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_cells(table(spark, d, "applications"), "id", ["notes", "company", "role"])
