@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake
+from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake, near_dup
 from ferrule.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_restored")
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.damaged_cells(table(spark, d, "applications"), "id", ["notes", "company", "role"])
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.ad_pairs(table(spark, d, "jobs"), table(spark, d, "golden_cases")).distinct()
+
+
+@query("p5_classes")
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.ad_classes(table(spark, d, "jobs"), table(spark, d, "golden_cases"))
