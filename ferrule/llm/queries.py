@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake, near_dup
+from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake, name_variants, near_dup
 from ferrule.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_classes")
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.ad_classes(table(spark, d, "jobs"), table(spark, d, "golden_cases"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.company_pairs(table(spark, d, "applications"), table(spark, d, "jobs")).distinct()
+
+
+@query("p1_clusters")
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.name_clusters(name_variants.company_names(table(spark, d, "applications"), table(spark, d, "jobs")))
