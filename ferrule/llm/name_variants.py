@@ -151,15 +151,15 @@ def distance(a: str, b: str) -> int:
     return best
 
 
-def grade(edits: int, size: int) -> float:
-    """How surely two names of compatible trade are one: near certain up to two edits in names of nine letters or more."""
+def grade(edits: int, size: int, bare: bool = False) -> float:
+    """How surely two names of compatible trade are one: near certain up to two edits in names of nine letters or more; less where one names no trade (``bare``)."""
     if edits == 0:
         return 1.0
     if edits == 1:
         return 0.95 if size >= 6 else 0.3
     if edits == 2:
-        return 0.85 if size >= 9 else 0.2
-    return 0.36 if edits <= 5 and size >= 12 else 0.0
+        return (0.5 if bare else 0.85) if size >= 9 else 0.2
+    return 0.0
 
 
 def average_linkage(nodes: DataFrame, edges: DataFrame, at_least: float) -> DataFrame:
@@ -233,7 +233,7 @@ def cosine_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.distinct()
 
 
-def name_clusters(names: DataFrame, threshold: float = 0.25, at_least: float = 0.4) -> DataFrame:
+def name_clusters(names: DataFrame, threshold: float = 0.25, at_least: float = 0.3) -> DataFrame:
     """name, cluster: each distinct non-null ``name`` with the entity it stands for.
 
     Names without own words (empty, or of legal form and trade alone) are entities
@@ -253,18 +253,18 @@ def name_clusters(names: DataFrame, threshold: float = 0.25, at_least: float = 0
     nodes = written(real.groupBy("node", "own", "trade").agg(F.count("*").alias("size")), "nodes")
     lost = F.length("own") - F.length(F.regexp_replace("own", r"\?", ""))
     letters = F.array_join(F.array_sort(F.split(F.regexp_replace("own", r"[ ?]", ""), "")), "")
-    side = nodes.select("node", "own", letters.alias("letters"), lost.alias("lost"))
-    a = side.select(F.col("node").alias("a"), F.col("own").alias("oa"), F.col("letters").alias("la"), F.col("lost").alias("xa"))
-    b = side.select(F.col("node").alias("b"), F.col("own").alias("ob"), F.col("letters").alias("lb"), F.col("lost").alias("xb"))
-    # An edit changes at most two of the sorted letters.
-    close = F.expr("levenshtein(la, lb, 14) between 0 and 8 + xa + xb")
-    graded = cosine_candidates(nodes, threshold).join(a, "a").join(b, "b").where(close).select("a", "b", "oa", "ob")
+    side = nodes.select("node", "own", (F.col("trade") == "").alias("bare"), letters.alias("letters"), lost.alias("lost"))
+    a = side.select(F.col("node").alias("a"), F.col("own").alias("oa"), F.col("letters").alias("la"), F.col("lost").alias("xa"), F.col("bare").alias("ba"))
+    b = side.select(F.col("node").alias("b"), F.col("own").alias("ob"), F.col("letters").alias("lb"), F.col("lost").alias("xb"), F.col("bare").alias("bb"))
+    # An edit changes at most two of the sorted letters; pairs more than two edits apart count as 0.
+    close = F.expr("levenshtein(la, lb, 12) between 0 and 4 + xa + xb")
+    graded = cosine_candidates(nodes, threshold).join(a, "a").join(b, "b").where(close).select("a", "b", "oa", "ob", (F.col("ba") | F.col("bb")).alias("bare"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p, q, s, t in zip(batch["a"], batch["b"], batch["oa"], batch["ob"]):
-                sim = grade(distance(s, t), min(len(s.replace(" ", "")), len(t.replace(" ", ""))))
+            for p, q, s, t, bare in zip(batch["a"], batch["b"], batch["oa"], batch["ob"], batch["bare"]):
+                sim = grade(distance(s, t), min(len(s.replace(" ", "")), len(t.replace(" ", ""))), bool(bare))
                 if sim > 0:
                     rows.append((p, q, sim))
             yield pd.DataFrame(rows, columns=["a", "b", "sim"])
