@@ -132,12 +132,12 @@ def html_text(c: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def sentences(c: Column) -> Column:
     """Pieces ending in a full stop, question or exclamation mark followed by a blank; not after common abbreviations."""
-    return F.filter(F.split(c, r"(?<!\b(?:e\.g|i\.e|Mr|Dr|No|vs))(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(c, r"(?<!\b(?:e\.g|i\.e|Mr|Dr|No|vs)\.)(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
 def emails(c: Column) -> Column:
