@@ -76,8 +76,8 @@ def edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, word, sim: for each distinct ``token`` the vocabulary ``word`` it may stand for.
 
-    Words within two edits (one for tokens under four letters; equal only below
-    three), and words that the token abbreviates: it is their beginning, or has at
+    Words within two edits (one for tokens under four letters unless they begin
+    alike; equal only below three), and words that the token abbreviates: it is their beginning, or has at
     least half of their letters in order from the first one on.
     """
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
@@ -88,7 +88,7 @@ def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     close = (
         pairs.withColumn("d", edits("token", "word"))
         .withColumn("size", F.greatest(F.length("token"), F.length("word")))
-        .where("d <= case when least(length(token), length(word)) >= 4 then 2 else 1 end and d * 2 < size")
+        .where("d <= case when least(length(token), length(word)) >= 4 or (length(word) >= 5 and left(token, 1) = left(word, 1)) then 2 else 1 end and d * 2 < size")
         .select("token", "word", (1 - F.col("d") / F.col("size")).alias("sim"))
     )
     first = F.substring("token", 1, 1)

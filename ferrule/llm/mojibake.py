@@ -157,6 +157,10 @@ def block(char: str) -> tuple[int, int]:
     return (code >> 7, 128) if code < 0x3000 else (1 << 20, 30_000) if code < 0xFB00 else (code >> 7, 128)
 
 
+# First code points of the stretches in which texts in common scripts, marks and currencies lie.
+COMMON = {block(chr(c))[0] for c in (0x00, 0x80, 0x100, 0x380, 0x400, 0x580, 0x600, 0x900, 0x2000, 0x2080, 0x2100, 0x3000, 0xFF00)}
+
+
 class Bigrams:
     """Chance of a character after another, backed off to how common it is, and that to how common its block is."""
 
@@ -172,7 +176,7 @@ class Bigrams:
 
     def alone(self, b: str) -> float:
         name, size = block(b)
-        in_block = (self.blocks.get(name, 0) + 1e-3) / self.total / size
+        in_block = (self.blocks.get(name, 0) + (1e-3 if name in COMMON else 1e-20)) / self.total / size
         return (self.single.get(b, 0) + in_block) / self.total
 
     def __call__(self, a: str, b: str) -> float:
