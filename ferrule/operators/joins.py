@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.scalars import spaced, token_jaccard
+from ferrule.plans.session import spread
 
 
 def unseen(new: DataFrame, seen: list[DataFrame], key: str, order: str) -> DataFrame:
@@ -28,7 +29,7 @@ def phrase_matches(texts: DataFrame, key: str, text: str, phrases: DataFrame, ph
     known = phrases.select(F.col(phrase).alias("phrase")).distinct().withColumn("_run", spaced(F.col("phrase"))).where("_run <> ''")
     known = known.withColumn("_n", F.size(F.split("_run", " ")))
     sizes = sorted(r["_n"] for r in known.select("_n").distinct().collect())  # the different lengths only
-    words = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.split(spaced(F.col(text)), " ").alias("_w"))
+    words = spread(texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_x"))).select("_k", F.split(spaced(F.col("_x")), " ").alias("_w"))
 
     def runs(n: int) -> Column:
         last = F.size("_w") - n + 1
