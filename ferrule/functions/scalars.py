@@ -55,7 +55,7 @@ def iso_week(d: Column) -> Column:
 
 def strict_date(c: Column) -> Column:
     """``YYYY-MM-DD`` that exists in the calendar; everything else is null."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, F.lit("yyyy-MM-dd")))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def leading_number(c: Column) -> Column:

@@ -875,3 +875,461 @@ def d15_audit(spark: SparkSession, d: str) -> DataFrame:
         ("date form", "warning", ~F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$")),
     ]
     return merges.audit(table(spark, d, "applications"), "id", rules)
+
+
+# Further filters, picks and orders
+
+
+@query(
+    "f10_cooldown",
+    """select j.job_id from jobs j where exists (select 1 from applications a where a.company = j.company and try_cast(a.date as date) is not null and regexp_matches(a.date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')
+         and date_diff('day', a.date::date, j.first_seen_at::date) between 0 and 60)""",
+)
+def f10_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of a company applied to within the 60 days before. Days are the join key, so that a company's rows aren't compared with one another."""
+    a = table(spark, d, "applications").select("company", S.strict_date(F.col("date")).alias("day")).where("company is not null and day is not null").distinct()
+    open_days = a.select("company", F.explode(F.sequence("day", F.date_add("day", 60))).alias("day")).distinct()
+    j = table(spark, d, "jobs").where("company is not null").select("job_id", "company", F.col("first_seen_at").cast("date").alias("day"))
+    return j.join(open_days, ["company", "day"], "left_semi").select("job_id")
+
+
+@query(
+    "f13_recheck",
+    "select job_id, case when queue_status = 'evaluated' then 'known' when last_seen_at >= timestamp '2025-12-01 00:00:00' then 'recent' when retry_count > 3 then 'given up' else 'again' end as policy from jobs",
+)
+def f13_recheck(spark: SparkSession, d: str) -> DataFrame:
+    p = (
+        F.when(F.col("queue_status") == "evaluated", "known")
+        .when(F.col("last_seen_at") >= F.lit("2025-12-01 00:00:00").cast("timestamp_ntz"), "recent")
+        .when(F.col("retry_count") > 3, "given up")
+        .otherwise("again")
+    )
+    return table(spark, d, "jobs").select("job_id", p.alias("policy"))
+
+
+@query(
+    "f24_find",
+    "select id from applications where id = 42 or contains(lower(coalesce(role, '')), 'platform') or contains(lower(coalesce(company, '')), 'platform')",
+)
+def f24_find(spark: SparkSession, d: str) -> DataFrame:
+    spec = filters.Spec(needle=(("role", "company"), "platform"), columns=["id"])
+    a = table(spark, d, "applications")
+    return spec.build(a).unionByName(a.where("id = 42").select("id")).distinct()
+
+
+@query(
+    "f27_facets",
+    "select source, count(*) as n, array_to_string(list_sort(list_distinct(list(liveness_status))), ',') as states from jobs where location ilike '%remote%' and first_seen_at >= timestamp '2025-09-01 00:00:00' group by source",
+)
+def f27_facets(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").where(F.col("location").ilike("%remote%") & (F.col("first_seen_at") >= F.lit("2025-09-01 00:00:00").cast("timestamp_ntz")))
+    return j.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("liveness_status")), ",").alias("states"))
+
+
+@query(
+    "j4_first_seen",
+    f"select a.job_id, m.first_at from jobs a join (select {LINK_SQL} as link, min(first_seen_at) as first_at from jobs group by 1) m on m.link = {LINK_SQL.replace('canonical_url', 'a.canonical_url').replace('raw_url', 'a.raw_url')}",
+)
+def j4_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").select("job_id", link().alias("link"), "first_seen_at")
+    return j.join(j.groupBy("link").agg(F.min("first_seen_at").alias("first_at")), "link").select("job_id", "first_at")
+
+
+@query(
+    "j13_ranked_overlap",
+    f"""with q as (select id, {ROLE_TOKENS_SQL.format(SPACE_SQL.format("role"))} as k from applications where id % 100 = 0 and role is not null),
+             t as (select title, {ROLE_TOKENS_SQL.format(SPACE_SQL.format("title"))} as k from (select distinct title from jobs where title is not null)),
+             s as (select id, title, 2.0 * len(list_intersect(q.k, t.k)) / (len(q.k) + len(t.k)) as dice from q join t on len(list_intersect(q.k, t.k)) > 0)
+        select id, title, round(dice, 6) as dice from (select *, row_number() over (partition by id order by dice desc, title) as r from s) where r <= 5""",
+)
+def j13_ranked_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The five titles that share most words with each query role (every id divisible by 100), by Dice's measure: counts of shared words from a join on words."""
+    q = table(spark, d, "applications").where("id % 100 = 0 and role is not null").select("id", S.role_tokens(F.col("role")).alias("k"))
+    t = table(spark, d, "jobs").where("title is not null").select("title").distinct().withColumn("k", S.role_tokens(F.col("title")))
+    qw, tw = q.select("id", F.size("k").alias("nq"), F.explode("k").alias("w")), t.select("title", F.size("k").alias("nt"), F.explode("k").alias("w"))
+    s = qw.join(tw, "w").groupBy("id", "title", "nq", "nt").agg(F.count("*").alias("shared"))
+    s = s.withColumn("dice", 2.0 * F.col("shared") / (F.col("nq") + F.col("nt")))
+    w = Window.partitionBy("id").orderBy(F.desc("dice"), "title")
+    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("id", "title", F.round("dice", 6).alias("dice"))
+
+
+@query(
+    "j16_with_fallback",
+    f"""with j as (select provider_job_id as p, min(job_id) as by_id from jobs where provider_job_id is not null group by 1), c as (select company, min(job_id) as by_company from jobs where company is not null group by 1)
+        select a.id, coalesce(j.by_id, c.by_company) as job_id from applications a left join j on j.p = a.id::varchar left join c on c.company = a.company""",
+)
+def j16_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "jobs")
+    by_id = jobs.where("provider_job_id is not null").groupBy(F.col("provider_job_id").alias("p")).agg(F.min("job_id").alias("by_id"))
+    by_company = jobs.where("company is not null").groupBy("company").agg(F.min("job_id").alias("by_company"))
+    a = table(spark, d, "applications").select("id", "company", F.col("id").cast("string").alias("p"))
+    return a.join(by_id, "p", "left").join(by_company, "company", "left").select("id", F.coalesce("by_id", "by_company").alias("job_id"))
+
+
+@query(
+    "j18_reconciled",
+    f"""with p as (select {LINK_SQL} as link, min(job_id) as job_id from jobs where batch_no <= 12 and {LINK_SQL} is not null group by 1), s as (select {LINK_SQL} as link, max(queue_status) as st from jobs where batch_no > 12 and {LINK_SQL} is not null group by 1)
+        select p.job_id, case when s.link is null then 'keep' when s.st = 'evaluated' then 'move' else 'repeat' end as action from p left join s on s.link = p.link""",
+)
+def j18_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").select("job_id", "batch_no", "queue_status", link().alias("link")).where("link is not null")
+    p = j.where("batch_no <= 12").groupBy("link").agg(F.min("job_id").alias("job_id"))
+    s = j.where("batch_no > 12").groupBy("link").agg(F.max("queue_status").alias("st"))
+    return p.join(s, "link", "left").select("job_id", F.when(F.col("st").isNull(), "keep").when(F.col("st") == "evaluated", "move").otherwise("repeat").alias("action"))
+
+
+@query("j22_without_closed", "select job_id from jobs where queue_status = 'llm_ready' and coalesce(company, '') not in (select company from applications where status in ('Rejected', 'Discarded') and company is not null)")
+def j22_without_closed(spark: SparkSession, d: str) -> DataFrame:
+    closed = table(spark, d, "applications").where("status in ('Rejected', 'Discarded') and company is not null").select("company").distinct()
+    return table(spark, d, "jobs").where("queue_status = 'llm_ready'").join(closed, "company", "left_anti").select("job_id")
+
+
+@query(
+    "a2_cumulative",
+    """select count(*) filter (where r >= 1) as applied, count(*) filter (where r >= 2) as responded, count(*) filter (where r >= 3) as interviewed, count(*) filter (where r >= 4) as offered,
+         floor(1000.0 * count(*) filter (where r >= 2) / nullif(count(*) filter (where r >= 1), 0) + 0.5) / 10 as response_rate
+       from (select case status when 'Offer' then 4 when 'Interview' then 3 when 'Responded' then 2 when 'Applied' then 1 when 'Rejected' then 1 else 0 end as r from applications)""",
+)
+def a2_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("status")
+    r = F.when(s == "Offer", 4).when(s == "Interview", 3).when(s == "Responded", 2).when(s.isin("Applied", "Rejected"), 1).otherwise(0)
+    g = table(spark, d, "applications").select(r.alias("r")).agg(*(F.count_if(F.col("r") >= i).alias(n) for i, n in enumerate(("applied", "responded", "interviewed", "offered"), 1)))
+    return g.withColumn("response_rate", S.round_half_up(100.0 * F.col("responded") / F.nullif("applied", F.lit(0)), 1))
+
+
+@query(
+    "a6_run_stats",
+    "select batch_no, count(*) as found, count(*) filter (where queue_status = 'failed') as failed, round(100.0 * count(*) filter (where skip_reason is not null) / count(*), 4) as removed_share, round(avg(retry_count), 4) as mean_retries from jobs group by batch_no",
+)
+def a6_run_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "jobs").groupBy("batch_no").agg(
+        F.count("*").alias("found"),
+        F.count_if(F.col("queue_status") == "failed").alias("failed"),
+        F.round(100.0 * F.count("skip_reason") / F.count("*"), 4).alias("removed_share"),
+        F.round(F.avg("retry_count"), 4).alias("mean_retries"),
+    )
+
+
+@query(
+    "a16_reasons_in_text",
+    "select reason, count(*) as n from (select unnest(list_distinct(regexp_extract_all(lower(notes), '(sponsorship|clearance|commute|salary|on-call|years of)'))) as reason from applications where notes is not null) group by reason order by n desc, reason limit 15",
+)
+def a16_reasons_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    found = F.regexp_extract_all(F.lower("notes"), F.lit("(sponsorship|clearance|commute|salary|on-call|years of)"), 1)
+    r = table(spark, d, "applications").where("notes is not null").select(F.explode(F.array_distinct(found)).alias("reason"))
+    return r.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(15)
+
+
+@query(
+    "a20_weighted_skills",
+    """with s as (select job_id, retry_count, unnest(from_json(missing_required_skills, '["VARCHAR"]')) as skill from jobs)
+       select skill, sum(greatest(0, 5 - retry_count)) as weight, round(avg(case when retry_count >= 2 then 1.0 else 0.0 end), 4) as low_share,
+         case when sum(greatest(0, 5 - retry_count)) >= 100 then 'high' when sum(greatest(0, 5 - retry_count)) >= 30 then 'medium' else 'low' end as tier from s where skill not in ('Java', 'Go') group by skill""",
+)
+def a20_weighted_skills(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "jobs").select("retry_count", F.explode(F.from_json("missing_required_skills", "array<string>")).alias("skill")).where(~F.col("skill").isin("Java", "Go"))
+    g = s.groupBy("skill").agg(F.sum(F.greatest(F.lit(0), 5 - F.col("retry_count"))).alias("weight"), F.round(F.avg((F.col("retry_count") >= 2).cast("double")), 4).alias("low_share"))
+    return g.withColumn("tier", F.when(F.col("weight") >= 100, "high").when(F.col("weight") >= 30, "medium").otherwise("low"))
+
+
+@query(
+    "a21_skill_classes",
+    """with s as (select job_id, from_json(missing_required_skills, '["VARCHAR"]') as k from jobs)
+       select job_id, array_to_string(list_sort(list_filter(k, lambda x: x in ('Java', 'Python'))), ',') as existing, array_to_string(list_sort(list_filter(k, lambda x: x not in ('Java', 'Python'))), ',') as gaps from s where len(k) > 0""",
+)
+def a21_skill_classes(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "jobs").select("job_id", F.from_json("missing_required_skills", "array<string>").alias("k")).where("size(k) > 0")
+    have = F.array(F.lit("Java"), F.lit("Python"))
+    some = lambda c: F.array_join(F.array_sort(c), ",")
+    inside, outside = F.filter("k", lambda x: F.array_contains(have, x)), F.filter("k", lambda x: ~F.array_contains(have, x))
+    return s.select("job_id", some(inside).alias("existing"), some(outside).alias("gaps"))
+
+
+@query(
+    "a23_by_platform",
+    "select source, count(*) as n, count(*) filter (where liveness_status = 'live') as live, count(*) filter (where liveness_status = 'gone') as gone, count(*) filter (where liveness_status not in ('live', 'gone')) as unknown from jobs group by 1",
+)
+def a23_by_platform(spark: SparkSession, d: str) -> DataFrame:
+    live = F.col("liveness_status")
+    return table(spark, d, "jobs").groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(live == "live").alias("live"), F.count_if(live == "gone").alias("gone"), F.count_if(~live.isin("live", "gone")).alias("unknown")
+    )
+
+
+@query(
+    "a27_name_groups",
+    f"select {SQUEEZE_SQL.format('company')} as key, count(*) as n, count(distinct company) as spellings, min(company) as one from jobs where company is not null group by 1 having count(distinct company) > 1",
+)
+def a27_name_groups(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").where("company is not null").groupBy("company").agg(F.count("*").alias("n"))
+    return j.groupBy(S.squeezed(F.col("company")).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("spellings"), F.min("company").alias("one")).where("spellings > 1")
+
+
+@query(
+    "a34_before_after",
+    "select queue_status as before, coalesce(skip_reason, queue_status) as after, count(*) as n from jobs group by 1, 2",
+)
+def a34_before_after(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "jobs").groupBy(F.col("queue_status").alias("before"), F.coalesce("skip_reason", "queue_status").alias("after")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "a39_flag_counts",
+    """select flag, count(*) as n from (select unnest([case when everify_status = 'not_found' then 'no registry' end, case when sponsorship_status = 'fail' then 'sponsorship' end, case when liveness_status = 'gone' then 'gone' end]) as flag from jobs) where flag is not null group by flag""",
+)
+def a39_flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("everify_status") == "not_found", "no registry"), F.when(F.col("sponsorship_status") == "fail", "sponsorship"), F.when(F.col("liveness_status") == "gone", "gone")
+        )
+    )
+    return table(spark, d, "jobs").select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("a_approx_distinct")
+def a_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Engine extra: distinct counts by a sketch of bounded size."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.count("*").alias("n"))
+
+
+@query("s1_newest", "select id, company, status from applications order by id desc limit 20")
+def s1_newest(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    return filters.Spec(order=[("id", True)], limit=20, columns=["id", "company", "status"]).build(table(spark, d, "applications"))
+
+
+@query(
+    "s2_ready_queue",
+    "select job_id from jobs where queue_status = 'llm_ready' order by case posted_at_confidence when 'exact' then 0 when 'relative_exact' then 1 when 'lower_bound' then 2 else 3 end, case everify_status when 'pass' then 0 else 1 end, first_seen_at desc, job_id limit 25",
+)
+def s2_ready_queue(spark: SparkSession, d: str) -> DataFrame:
+    """A worker's next batch: three ranks, then source order."""
+    j = table(spark, d, "jobs").where("queue_status = 'llm_ready'")
+    return j.orderBy(-confidence_rank(), F.when(F.col("everify_status") == "pass", 0).otherwise(1), F.desc_nulls_last("first_seen_at"), "job_id").limit(25).select("job_id")
+
+
+@query("s8_newest_first", "select job_id from jobs where queue_status = 'new' order by posted_at desc nulls last, job_id limit 100")
+def s8_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    return table(spark, d, "jobs").where("queue_status = 'new'").orderBy(F.desc_nulls_last("posted_at"), "job_id").limit(100).select("job_id")
+
+
+@query(
+    "s12_mean_of_best",
+    """select q, round(avg(c), 5) as strength from (select a.vec_id as q, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as r
+         from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) where r <= 3 group by q""",
+)
+def s12_mean_of_best(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    got = joins.nearest_vectors(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 3)
+    return got.groupBy(F.col("query").alias("q")).agg(F.round(F.avg("cosine"), 5).alias("strength"))
+
+
+@query(
+    "s14_story_ranking",
+    """select doc_id, score from (select doc_id, 3 * contains(t, 'kafka')::int + 2 * contains(t, 'spark')::int + contains(t, 'python')::int as score from (select doc_id, lower(text) as t from documents where text is not null)) where score > 0 order by score desc, doc_id limit 20""",
+)
+def s14_story_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    t = F.lower("text")
+    score = 3 * t.contains("kafka").cast("int") + 2 * t.contains("spark").cast("int") + t.contains("python").cast("int")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("u2_bag_union", "select company, 'application' as kind from applications union all select company, 'posting' as kind from jobs")
+def u2_bag_union(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").select("company", F.lit("application").alias("kind")).unionByName(table(spark, d, "jobs").select("company", F.lit("posting").alias("kind")))
+
+
+@query(
+    "e4_aliases",
+    f"""with s as (select distinct company, {SQUEEZE_SQL.format("company")} as k from jobs where company is not null), u as (select k, min(company) as one from s group by k having count(*) = 1)
+        select a.id, coalesce(u.one, a.company) as company from applications a left join u on u.k = {SQUEEZE_SQL.format("a.company")}""",
+)
+def e4_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Companies under the spelling of the queue where that is unambiguous."""
+    s = table(spark, d, "jobs").where("company is not null").select("company").distinct().withColumn("k", S.squeezed(F.col("company")))
+    u = s.groupBy("k").agg(F.count("*").alias("n"), F.min("company").alias("one")).where("n = 1").select("k", "one")
+    a = table(spark, d, "applications").select("id", "company", S.squeezed(F.col("company")).alias("k"))
+    return a.join(u, "k", "left").select("id", F.coalesce("one", "company").alias("company"))
+
+
+@query(
+    "e5_medians",
+    "select l_returnflag, median(l_quantity) as mid, quantile_cont(l_quantity, 0.75) as p75, quantile_disc(l_quantity, 0.5) as lower_mid from lineitem group by 1",
+)
+def e5_medians(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "lineitem").select("l_returnflag", "l_quantity").createOrReplaceTempView("_e5")
+    return spark.sql("select l_returnflag, median(l_quantity) as mid, percentile(l_quantity, 0.75) as p75, percentile_disc(0.5) within group (order by l_quantity) as lower_mid from _e5 group by 1")
+
+
+@query(
+    "e8_days_between",
+    "select id, date_diff('day', date::date, date '2026-08-01') as days, (date::date + interval 7 day)::date as next_day from applications where regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and try_cast(date as date) is not null",
+)
+def e8_days_between(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "applications").select("id", S.strict_date(F.col("date")).alias("x")).where("x is not null")
+    return a.select("id", F.datediff(F.lit("2026-08-01").cast("date"), "x").cast("bigint").alias("days"), F.date_add("x", 7).alias("next_day"))
+
+
+@query(
+    "e14_annual",
+    "select l_orderkey, l_linenumber, l_suppkey, l_partkey, case when l_quantity < 10 then l_quantity * 2080 when l_quantity < 30 then l_quantity * 12 else l_quantity end as annual from lineitem",
+)
+def e14_annual(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.when(q < 10, q * 2080).when(q < 30, q * 12).otherwise(q).alias("annual"))
+
+
+@query(
+    "e16_role_keys",
+    "select distinct title, regexp_replace(lower(regexp_replace(title, '(\\s*\\([^()]*\\))+\\s*$', '')), '[^a-z0-9]', '', 'g') as key from jobs where title is not null and not contains(title, '[')",
+)
+def e16_role_keys(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "jobs").where("title is not null and not contains(title, '[')").select("title").distinct()
+    return t.select("title", S.role_key(F.col("title")).alias("key"))
+
+
+@query("e20_sentence_counts")
+def e20_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(S.sentences(F.col("text"))).alias("sentences"))
+
+
+@query(
+    "e25_seniority",
+    """select job_id, case when regexp_matches(lower(title), '\\b(principal|staff|lead)\\b') then 'lead' when regexp_matches(lower(title), '\\bsenior\\b') then 'senior' when regexp_matches(lower(title), '\\b(junior|associate|werkstudent)\\b') then 'junior' else 'mid' end as seniority from jobs where title is not null""",
+)
+def e25_seniority(spark: SparkSession, d: str) -> DataFrame:
+    t = F.lower("title")
+    s = F.when(t.rlike(r"\b(principal|staff|lead)\b"), "lead").when(t.rlike(r"\bsenior\b"), "senior").when(t.rlike(r"\b(junior|associate|werkstudent)\b"), "junior").otherwise("mid")
+    return table(spark, d, "jobs").where("title is not null").select("job_id", s.alias("seniority"))
+
+
+@query(
+    "e26_ordered_classes",
+    """select doc_id, case when contains(t, 'offer') then 'offer' when contains(t, 'interview') then 'interview' when contains(t, 'unfortunately') or contains(t, 'leider') then 'refusal' when contains(t, 'thanks for applying') then 'receipt' end as class
+       from (select doc_id, lower(text) as t from documents where doc_kind = 'mail')""",
+)
+def e26_ordered_classes(spark: SparkSession, d: str) -> DataFrame:
+    t = F.lower("text")
+    classes = [("offer", ["offer"]), ("interview", ["interview"]), ("refusal", ["unfortunately", "leider"]), ("receipt", ["thanks for applying"])]
+    return table(spark, d, "documents").where("doc_kind = 'mail'").select(
+        "doc_id", filters.first_reject([(n, filters.any_of([t.contains(w) for w in words])) for n, words in classes]).alias("class")
+    )
+
+
+@query(
+    "e29_report_numbers",
+    "select id, try_cast(regexp_extract(report, '^\\[([0-9]+)\\]', 1) as int) as report_no, regexp_extract(report, '\\(([^)]*)\\)', 1) as path from applications",
+)
+def e29_report_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").select(
+        "id", F.regexp_extract("report", r"^\[([0-9]+)\]", 1).try_cast("int").alias("report_no"), F.regexp_extract("report", r"\(([^)]*)\)", 1).alias("path")
+    )
+
+
+@query(
+    "e35_unknown_claims",
+    "select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[0-9]+ years'), lambda x: x not in ('2 years', '3 years', '5 years')))), ',') as claims from documents where regexp_matches(text, '[0-9]+ years')",
+)
+def e35_unknown_claims(spark: SparkSession, d: str) -> DataFrame:
+    known = F.array(*map(F.lit, ("2 years", "3 years", "5 years")))
+    docs = table(spark, d, "documents").where(F.col("text").rlike("[0-9]+ years"))
+    return docs.select("doc_id", F.array_join(F.array_sort(F.array_except(F.regexp_extract_all("text", F.lit("([0-9]+ years)"), 1), known)), ",").alias("claims"))
+
+
+@query(
+    "d9_merge_additions",
+    """with b as (select * from applications where pos % 2 = 0), n as (select company, role, max(try_cast(regexp_extract(score, '^([0-9.]+)/5$', 1) as double)) as s from applications where pos % 2 = 1 and company is not null and role is not null group by 1, 2)
+       select b.id, b.status, case when n.s is not null and n.s > coalesce(try_cast(regexp_extract(b.score, '^([0-9.]+)/5$', 1) as double), -1) then n.s else try_cast(regexp_extract(b.score, '^([0-9.]+)/5$', 1) as double) end as score
+       from b left join n on n.company = b.company and n.role = b.role""",
+)
+def d9_merge_additions(spark: SparkSession, d: str) -> DataFrame:
+    """Rows keep their status and take a better score from the additions of the same company and role."""
+    a = table(spark, d, "applications").withColumn("s", S.leading_number(F.col("score")))
+    n = a.where("pos % 2 = 1 and company is not null and role is not null").groupBy("company", "role").agg(F.max("s").alias("better"))
+    b = a.where("pos % 2 = 0").join(n, ["company", "role"], "left")
+    return b.select("id", "status", F.when(F.col("better") > F.coalesce("s", F.lit(-1.0)), F.col("better")).otherwise(F.col("s")).alias("score"))
+
+
+@query("d12_reserved_numbers", "select job_id, (select max(id) from applications) + row_number() over (order by job_id) as number from jobs where queue_status = 'in_progress'")
+def d12_reserved_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive numbers after the largest in use, for the rows being worked on."""
+    top = table(spark, d, "applications").agg(F.max("id").alias("top"))
+    j = table(spark, d, "jobs").where("queue_status = 'in_progress'").select("job_id")
+    parts = j.repartitionByRange(8, "job_id").withColumn("p", F.spark_partition_id())
+    offsets = parts.groupBy("p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    numbered = parts.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("job_id"))).join(offsets.select("p", before.alias("before")), "p")
+    return numbered.join(F.broadcast(top)).select("job_id", (F.col("top") + F.col("before") + F.col("r")).alias("number"))
+
+
+@query(
+    "d13_missing_events",
+    "select id, status, date from applications where status in ('Applied', 'Interview') and id not in (select app_id from status_events where app_id is not null)",
+)
+def d13_missing_events(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to seed: those of the states followed up that have no event yet; seeding again adds nothing."""
+    a = table(spark, d, "applications").where("status in ('Applied', 'Interview')")
+    return a.join(table(spark, d, "status_events").select(F.col("app_id").alias("id")), "id", "left_anti").select("id", "status", "date")
+
+
+@query(
+    "d14_text_pool",
+    "select min(job_id) as job_id, count(*) as n from (select job_id, regexp_replace(lower(jd_text), '\\s+', '', 'g') as k from jobs where jd_text is not null) group by k",
+)
+def d14_text_pool(spark: SparkSession, d: str) -> DataFrame:
+    """One posting per text, blanks and case aside; grouped by digest."""
+    k = F.sha2(F.regexp_replace(F.lower("jd_text"), r"\s+", ""), 256)
+    return table(spark, d, "jobs").where("jd_text is not null").groupBy(k.alias("k")).agg(F.min("job_id").alias("job_id"), F.count("*").alias("n")).select("job_id", "n")
+
+
+@query(
+    "w12_priority_rank",
+    "select id, case status when 'Interview' then 0 when 'Offer' then 1 when 'Responded' then 2 when 'Applied' then 3 when 'Evaluated' then 4 else 9 end as priority from applications",
+)
+def w12_priority_rank(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.create_map(*(F.lit(x) for kv in {"Interview": 0, "Offer": 1, "Responded": 2, "Applied": 3, "Evaluated": 4}.items() for x in kv))
+    return table(spark, d, "applications").select("id", F.coalesce(rank[F.col("status")], F.lit(9)).alias("priority"))
+
+
+@query(
+    "w_frames",
+    "select user_id, event_id, lag(value) over w as before, sum(value) over (partition by user_id order by event_id rows between 2 preceding and current row) as last_three, ntile(4) over w as quarter from events window w as (partition by user_id order by event_id)",
+)
+def w_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Engine extra."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select(
+        "user_id", "event_id", F.lag("value").over(w).alias("before"), F.sum("value").over(w.rowsBetween(-2, 0)).alias("last_three"), F.ntile(4).over(w).alias("quarter")
+    )
+
+
+@query(
+    "x5_state_aliases",
+    "select e.id, coalesce(s.state_label, 'none') as label from status_events e left join (select lower(spelling) as k, min(state_label) as state_label from states group by 1) s on s.k = lower(trim(regexp_replace(e.status, '[*!.?]', '', 'g')))",
+)
+def x5_state_aliases(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "states").groupBy(F.lower("spelling").alias("k")).agg(F.min("state_label").alias("label"))
+    e = table(spark, d, "status_events").select("id", F.lower(F.trim(F.regexp_replace("status", "[*!.?]", ""))).alias("k"))
+    return e.join(s, "k", "left").select("id", F.coalesce("label", F.lit("none")).alias("label"))
+
+
+@query(
+    "x1_score_cell",
+    "select id, case when regexp_matches(score, '^[0-9.]+/5$') and not regexp_matches(status, '^[0-9.]+/5$') then score when regexp_matches(status, '^[0-9.]+/5$') and not regexp_matches(score, '^[0-9.]+/5$') then status end as score from applications",
+)
+def x1_score_cell(spark: SparkSession, d: str) -> DataFrame:
+    """The cell that alone looks like a score."""
+    a, b = F.col("score").rlike(r"^[0-9.]+/5\z"), F.col("status").rlike(r"^[0-9.]+/5\z")
+    return table(spark, d, "applications").select("id", F.when(a & ~b, F.col("score")).when(b & ~a, F.col("status")).alias("score"))
+
+
+@query(
+    "x48_host_families",
+    "select regexp_extract(lower(regexp_extract(raw_url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)', 1)), '([a-z0-9-]+\\.[a-z0-9-]+)$', 1) as family, count(*) as n from jobs where raw_url is not null group by 1",
+)
+def x48_host_families(spark: SparkSession, d: str) -> DataFrame:
+    host = F.lower(F.regexp_extract("raw_url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)", 1))
+    return table(spark, d, "jobs").where("raw_url is not null").groupBy(F.regexp_extract(host, r"([a-z0-9-]+\.[a-z0-9-]+)$", 1).alias("family")).agg(F.count("*").alias("n"))

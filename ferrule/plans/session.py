@@ -77,8 +77,15 @@ def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
     """Spread few input files over all cores before costly per-row work.
 
     The number of partitions is the session's parallelism or its shuffle
-    partitions, whichever is more, so that it grows with the cluster.
+    partitions, whichever is more, so that it grows with the cluster. A scan that
+    has as many partitions already, as large tables do, is left as it is: whole
+    texts are then not shuffled.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")), least)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    if keys:
+        return df.repartition(n, *keys)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" not in plan and df.rdd.getNumPartitions() >= n:  # without an exchange nothing runs to tell the number
+        return df
+    return df.repartition(n)
