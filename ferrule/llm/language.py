@@ -190,10 +190,12 @@ def label_of(label: str | None) -> str | None:
     return None
 
 
-def fit(documents: DataFrame, text: str, lang: str, per_language: int = 600) -> np.ndarray:
-    """Model from at most about ``per_language`` labelled documents of each language, chosen by a hash of their key and text.
+def fit(documents: DataFrame, text: str, lang: str, per_language: int = 600, longest: int = 20_000) -> np.ndarray:
+    """Model from at most about ``per_language`` labelled documents of each language, chosen by a hash of their text.
 
-    The bound holds for the sample only; every document is labelled by the model.
+    Documents over ``longest`` characters aren't chosen, so that the sample is
+    bounded. Both bounds hold for the sample only: every document is labelled by
+    the model, whole.
     """
     labelled = documents.select(F.col(f"`{text}`").alias("t"), F.lower(F.trim(F.col(f"`{lang}`"))).alias("l")).where("t is not null and l is not null and l <> ''")
     counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500).collect()}
@@ -207,7 +209,7 @@ def fit(documents: DataFrame, text: str, lang: str, per_language: int = 600) ->
     spark = documents.sparkSession
     cut = spark.createDataFrame([(l, int(s * 1_000_000), label_of(l)) for l, s in share.items()], "l string, cut int, code string")
     sample = labelled.join(F.broadcast(cut), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("cut"))
-    rows = sample.select("t", "code").dropDuplicates(["t"]).select(F.substring("t", 1, 20_000).alias("t"), "code").collect()
+    rows = sample.where(F.length("t") <= longest).select("t", "code").dropDuplicates(["t"]).collect()
     first: list[tuple[str, str]] = [(FREQUENT[x], x) for x in LANGUAGES for _ in range(20)]
     votes: dict[bytes, Counter] = {}
     words: dict[bytes, str] = {}
