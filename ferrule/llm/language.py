@@ -269,7 +269,7 @@ def segments(documents: DataFrame, model: np.ndarray, doc_key: str = "doc_id", t
     return slim.mapInPandas(run, schema)
 
 
-def joined(part: list[tuple[int, int, bool, str, float, int]], least: float = 0.85) -> list[tuple[int, int, int, str, float, bool]]:
+def joined(part: list[tuple[int, int, bool, str, float, int]], least: float = 0.9) -> list[tuple[int, int, int, str, float, bool]]:
     """Runs of one language; pieces that aren't whole or sure follow their neighbours."""
     if not part:
         return []
