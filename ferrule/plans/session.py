@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is the one the session names in ``spark.checkpoint.dir``. Only where that
     is unset, as in tests on one machine, a temporary folder is made and set.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     made = getattr(spark, "_ferrule_shared", None)
