@@ -147,3 +147,16 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: st
         out = out.unionByName(one_block(rows))
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "rank", "cosine")
+
+
+def best_or_ambiguous(keys: DataFrame, scored: DataFrame, key: str, choice: str, score: str) -> DataFrame:
+    """key, choice, verdict: the choice of highest score of each of ``keys``; ``ambiguous`` (and no choice) where several share it, ``none`` without any.
+
+    ``scored``: key, choice, score. Null scores don't count; repeated rows count once.
+    """
+    top = scored.where(F.col(score).isNotNull()).select(key, choice, score).distinct()
+    best = top.groupBy(key).agg(F.max(score).alias("_s"))
+    tied = top.join(best, key).where(F.col(score) == F.col("_s")).groupBy(key).agg(F.count("*").alias("_n"), F.min(choice).alias("_c"))
+    out = keys.select(key).distinct().join(tied, key, "left")
+    verdict = F.when(F.col("_n").isNull(), "none").when(F.col("_n") > 1, "ambiguous").otherwise("match")
+    return out.select(key, F.when(F.col("_n") == 1, F.col("_c")).alias(choice), verdict.alias("verdict"))

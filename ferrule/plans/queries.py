@@ -1333,3 +1333,47 @@ def x1_score_cell(spark: SparkSession, d: str) -> DataFrame:
 def x48_host_families(spark: SparkSession, d: str) -> DataFrame:
     host = F.lower(F.regexp_extract("raw_url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]+)", 1))
     return table(spark, d, "jobs").where("raw_url is not null").groupBy(F.regexp_extract(host, r"([a-z0-9-]+\.[a-z0-9-]+)$", 1).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "j12_best_or_ambiguous",
+    f"""with d as (select doc_id, ' ' || {SPACE_SQL.format("text")} || ' ' as t from documents where doc_kind = 'mail'),
+             c as (select company, {SPACE_SQL.format("company")} as c from (select distinct company from applications where company is not null)),
+             s as (select doc_id, company, length(c) as score from d join c on c <> '' and contains(t, ' ' || c || ' ')), m as (select doc_id, max(score) as best from s group by 1),
+             k as (select s.doc_id, count(*) as n, min(company) as company from s join m on m.doc_id = s.doc_id and m.best = s.score group by 1)
+        select d.doc_id, case when k.n = 1 then k.company end as company, case when k.n is null then 'none' when k.n > 1 then 'ambiguous' else 'match' end as verdict from d left join k on k.doc_id = d.doc_id""",
+)
+def j12_best_or_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """The company each mail is about: the longest name it holds, unless two are as long."""
+    mails = table(spark, d, "documents").where("doc_kind = 'mail'")
+    found = joins.phrase_matches(mails, "doc_id", "text", table(spark, d, "applications"), "company")
+    scored = found.select("doc_id", F.col("phrase").alias("company"), F.length(S.spaced(F.col("phrase"))).alias("score"))
+    return joins.best_or_ambiguous(mails, scored, "doc_id", "company", "score")
+
+
+@query(
+    "a4_coverage",
+    "select count(*) as sources, count(*) filter (where ok > 0) as producing, round(100.0 * count(*) filter (where ok > 0) / count(*), 1) as share from (select source, count(*) filter (where jd_status = 'ok') as ok from jobs group by 1)",
+)
+def a4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "jobs").groupBy("source").agg(F.count_if(F.col("jd_status") == "ok").alias("ok"))
+    return g.agg(F.count("*").alias("sources"), F.count_if(F.col("ok") > 0).alias("producing"), F.round(100.0 * F.count_if(F.col("ok") > 0) / F.count("*"), 1).alias("share"))
+
+
+@query(
+    "a5_followed_up",
+    """select count(*) as events, count(distinct app_id) as applications, round(count(*) / count(distinct app_id)::double, 4) as per_application,
+         (select count(*) from applications where status = 'Applied' and id not in (select app_id from status_events where app_id is not null)) as without from status_events""",
+)
+def a5_followed_up(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "status_events")
+    per = e.groupBy("app_id").agg(F.count("*").alias("n"))
+    totals = per.agg(F.sum("n").alias("events"), F.count("app_id").alias("applications"))
+    lacking = table(spark, d, "applications").where("status = 'Applied'").join(per.select(F.col("app_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("without"))
+    return totals.join(F.broadcast(lacking)).select("events", "applications", F.round(F.col("events") / F.col("applications"), 4).alias("per_application"), "without")
+
+
+@query("e34_initials", "select distinct company, upper(left(company, 1)) as first_letter from jobs where regexp_matches(company, '^[A-Za-z]')")
+def e34_initials(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "jobs").where(F.col("company").rlike("^[A-Za-z]")).select("company").distinct()
+    return c.select("company", F.substring(S.initials(F.col("company")), 1, 1).alias("first_letter"))
