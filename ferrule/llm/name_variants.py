@@ -203,18 +203,31 @@ def average_linkage(nodes: DataFrame, edges: DataFrame, at_least: float) -> Data
         )
 
 
-def cosine_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of nodes (a < b) whose vectors may reach the cosine ``threshold``, of the same trade or one without.
-
-    ``nodes``: node, own, trade. Of each vector only the prefix of its heaviest
-    trigrams is joined: the rest is too light to reach the threshold by itself.
-    Trigrams that many names share weigh little and fall behind the prefix.
+def letter_bits(own: str) -> int:
+    """Which letters stand in the words once and twice, and which digits: an edit flips at most two of the bits."""
+    bits = 0
+    for c in own:
+        if "a" <= c <= "z":
+            at = ord(c) - 97
+            bits |= 1 << (at + 26 if bits >> at & 1 else at)
+        elif c.isdigit():
+            bits |= 1 << (52 + int(c))
+    return bits
+
+
+def cosine_candidates(nodes: DataFrame, threshold: float, edits: int = 2) -> DataFrame:
+    """a, b: pairs of nodes (a < b) whose vectors may reach the cosine ``threshold``, of the same trade or one without, and whose letters allow at most ``edits`` edits.
+
+    ``nodes``: node, own, trade, bits, lost. Of each vector only the prefix of its
+    heaviest trigrams is joined: the rest is too light to reach the threshold by
+    itself. Trigrams that many names share weigh little and fall behind the prefix.
+    Letters are compared in the join, so that hardly any pair leaves it in vain.
     """
     padded = F.transform(F.split("own", " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
     grams = F.array_distinct(
         F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, F.lit(3)))))
     )
-    each = nodes.select("node", "trade", F.length("own").alias("size"), F.explode(F.filter(grams, lambda g: ~g.contains(ANY))).alias("gram"))
+    each = nodes.select("node", "trade", "bits", "lost", F.explode(F.filter(grams, lambda g: ~g.contains(ANY))).alias("gram"))
     each = written(each, "grams")
     n = nodes.count()
     weight = F.log(F.lit(float(max(n, 1))) / F.col("df")) + 0.1
@@ -222,13 +235,13 @@ def cosine_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     heavy = Window.partitionBy("node").orderBy(F.desc("w2"), "gram")
     total = Window.partitionBy("node")
     left = F.sum("w2").over(heavy.rowsBetween(0, Window.unboundedFollowing)) / F.sum("w2").over(total)
-    prefix = each.join(df, "gram").withColumn("left", left).where(F.col("left") >= threshold * threshold).select("node", "trade", "size", "gram")
+    prefix = each.join(df, "gram").withColumn("left", left).where(F.col("left") >= threshold * threshold).select("node", "trade", "bits", "lost", "gram")
     prefix = written(prefix, "prefixes")
-    x = prefix.select(F.col("node").alias("a"), F.col("trade").alias("ta"), F.col("size").alias("na"), "gram")
-    y = prefix.select(F.col("node").alias("b"), F.col("trade").alias("tb"), F.col("size").alias("nb"), "gram")
-    near = "a <> b and abs(na - nb) <= 5"
-    same = x.where("ta <> ''").join(y.where("tb <> ''"), (x["gram"] == y["gram"]) & (F.col("ta") == F.col("tb"))).where(near).where("a < b")
-    bare = x.where("ta = ''").join(y, x["gram"] == y["gram"]).where(near)
+    x = prefix.select(F.col("node").alias("a"), F.col("trade").alias("ta"), F.col("bits").alias("ma"), F.col("lost").alias("xa"), "gram")
+    y = prefix.select(F.col("node").alias("b"), F.col("trade").alias("tb"), F.col("bits").alias("mb"), F.col("lost").alias("xb"), "gram")
+    near = (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * edits + F.col("xa") + F.col("xb")) & (F.col("a") != F.col("b"))
+    same = x.where("ta <> ''").join(y.where("tb <> ''"), (x["gram"] == y["gram"]) & (F.col("ta") == F.col("tb")) & near & (F.col("a") < F.col("b")))
+    bare = x.where("ta = ''").join(y, (x["gram"] == y["gram"]) & near)
     pairs = same.select("a", "b").unionByName(bare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs.distinct()
 
@@ -245,15 +258,17 @@ def name_clusters(names: DataFrame, threshold: float = 0.25, at_least: float = 0
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(x, *parsed(x), "(" in x) for x in b["name"]], columns=["name", "own", "trade", "nick", "alone", "spelt"])
+            rows = [(x, *parsed(x)) for x in b["name"]]
+            yield pd.DataFrame(
+                [(*r, "(" in r[0], letter_bits(r[1]), r[1].count(ANY)) for r in rows], columns=["name", "own", "trade", "nick", "alone", "spelt", "bits", "lost"]
+            )
 
-    table = written(spread(distinct).mapInPandas(parse, "name string, own string, trade string, nick string, alone boolean, spelt boolean"), "names")
+    table = written(spread(distinct).mapInPandas(parse, "name string, own string, trade string, nick string, alone boolean, spelt boolean, bits bigint, lost int"), "names")
     node = F.xxhash64("own", "trade")
     real = table.where("own <> '' and not alone").withColumn("node", node)
-    nodes = written(real.groupBy("node", "own", "trade").agg(F.count("*").alias("size")), "nodes")
-    lost = F.length("own") - F.length(F.regexp_replace("own", r"\?", ""))
+    nodes = written(real.groupBy("node", "own", "trade", "bits", "lost").agg(F.count("*").alias("size")), "nodes")
     letters = F.array_join(F.array_sort(F.split(F.regexp_replace("own", r"[ ?]", ""), "")), "")
-    side = nodes.select("node", "own", (F.col("trade") == "").alias("bare"), letters.alias("letters"), lost.alias("lost"))
+    side = nodes.select("node", "own", (F.col("trade") == "").alias("bare"), letters.alias("letters"), "lost")
     a = side.select(F.col("node").alias("a"), F.col("own").alias("oa"), F.col("letters").alias("la"), F.col("lost").alias("xa"), F.col("bare").alias("ba"))
     b = side.select(F.col("node").alias("b"), F.col("own").alias("ob"), F.col("letters").alias("lb"), F.col("lost").alias("xb"), F.col("bare").alias("bb"))
     # An edit changes at most two of the sorted letters; pairs more than two edits apart count as 0.
