@@ -101,7 +101,7 @@ class LinkHistory:
 
 
 def records(jobs: DataFrame) -> DataFrame:
-    """job_id, key, link, company, title, provider: one row per row and blocking key.
+    """job_id, nth, key, link, company, title, provider: one row per row and blocking key; ``nth`` counts a row's keys from 0.
 
     Keys come from raw_url and canonical_url; a row whose links name no posting
     falls back on provider id and employer, and without those it has no key.
@@ -121,7 +121,7 @@ def records(jobs: DataFrame) -> DataFrame:
     )
     links = F.array_distinct(F.filter(F.array("k1", "k2"), lambda k: k.isNotNull()))
     keys = F.when(F.size(links) > 0, links).when(F.col("k3").isNotNull(), F.array("k3"))
-    return base.select("job_id", F.explode(keys).alias("key"), F.coalesce("k1", "k2").alias("link"), "company", "title", "provider")
+    return base.select("job_id", F.posexplode(keys).alias("nth", "key"), F.coalesce("k1", "k2").alias("link"), "company", "title", "provider")
 
 
 def levels_of(a: str, b: str) -> dict[str, Column]:
@@ -199,11 +199,10 @@ def joined_clusters(rows: DataFrame, holders: DataFrame) -> tuple[DataFrame, Dat
     Rows with a single key join nothing, so only rows with several keys and the
     clusters they touch take part, over as many rounds as the longest chain needs.
     """
-    several = rows.groupBy("job_id").agg(F.collect_set("key").alias("keys")).where("size(keys) > 1")
-    several = written(several, "several")
+    several = rows.where("nth > 0").select("job_id").distinct()
     if several.isEmpty():
         return holders, None
-    member = several.select("job_id", F.explode("keys").alias("key"))
+    member = rows.join(several, "job_id", "left_semi").select("job_id", "key").distinct()
     labels = written(member.join(holders.select("key", "rep"), "key").select("job_id", "key", F.col("rep").alias("was"), F.col("rep").alias("rep")), "labels")
     while True:
         by_row = labels.groupBy("job_id").agg(F.min("rep").alias("low"))
