@@ -1377,3 +1377,110 @@ def a5_followed_up(spark: SparkSession, d: str) -> DataFrame:
 def e34_initials(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "jobs").where(F.col("company").rlike("^[A-Za-z]")).select("company").distinct()
     return c.select("company", F.substring(S.initials(F.col("company")), 1, 1).alias("first_letter"))
+
+
+@query(
+    "j14_tiered_lookup",
+    f"""select company, tier from (select company, case when s = 'barbar' then 0 when starts_with(s, 'barbar ') then 1 when contains(' ' || s || ' ', ' barbar ') then 2 when contains(s, 'barbar') then 3 end as tier
+          from (select distinct company, {SPACE_SQL.format("company")} as s from jobs where company is not null)) where tier is not null""",
+)
+def j14_tiered_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One name looked up: equal, beginning, whole word, part."""
+    s, q = F.col("s"), "barbar"
+    tier = F.when(s == q, 0).when(s.startswith(f"{q} "), 1).when(F.concat(F.lit(" "), s, F.lit(" ")).contains(f" {q} "), 2).when(s.contains(q), 3)
+    names = table(spark, d, "jobs").where("company is not null").select("company").distinct().withColumn("s", S.spaced(F.col("company")))
+    return names.select("company", tier.alias("tier")).where("tier is not null")
+
+
+@query(
+    "a30_dashboard",
+    "select status, count(*) as n, count(*) filter (where pdf = '✅') as with_pdf, count(*) filter (where notes is null or notes = '') as without_notes, max(date) as last_date from applications group by status",
+)
+def a30_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").groupBy("status").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("pdf") == "✅").alias("with_pdf"),
+        F.count_if(F.coalesce("notes", F.lit("")) == "").alias("without_notes"),
+        F.max("date").alias("last_date"),
+    )
+
+
+@query(
+    "a38_host_report",
+    "select regexp_extract(lower(raw_url), '([a-z]+)\\.example', 1) as family, count(*) as requests, sum(retry_count) as retries, count(*) filter (where queue_status = 'failed') as failed from jobs where raw_url is not null group by 1",
+)
+def a38_host_report(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "jobs").where("raw_url is not null")
+    return j.groupBy(F.regexp_extract(F.lower("raw_url"), r"([a-z]+)\.example", 1).alias("family")).agg(
+        F.count("*").alias("requests"), F.sum("retry_count").alias("retries"), F.count_if(F.col("queue_status") == "failed").alias("failed")
+    )
+
+
+@query(
+    "s5_ranked_by_map",
+    "select id, dense_rank() over (order by case status when 'Interview' then 0 when 'Responded' then 1 when 'Applied' then 2 else 9 end) as urgency from applications",
+)
+def s5_ranked_by_map(spark: SparkSession, d: str) -> DataFrame:
+    """Dense places by a map of ranks: from the ranks in use, which are few."""
+    rank = F.when(F.col("status") == "Interview", 0).when(F.col("status") == "Responded", 1).when(F.col("status") == "Applied", 2).otherwise(9)
+    a = table(spark, d, "applications").select("id", rank.alias("r"))
+    places = a.select("r").distinct().withColumn("urgency", F.row_number().over(Window.orderBy("r")).cast("bigint"))  # one row a rank
+    return a.join(places, "r").select("id", "urgency")
+
+
+@query("s10_missing_as_zero", "select job_id from jobs order by coalesce(posted_at, timestamp '1970-01-01 00:00:00') desc, job_id limit 50")
+def s10_missing_as_zero(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    when = F.coalesce("posted_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, d, "jobs").orderBy(when.desc(), "job_id").limit(50).select("job_id")
+
+
+@query("s11_sample", "select job_id from jobs order by md5(job_id::varchar), job_id limit 100")
+def s11_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: the same hundred rows every time, in an order that has nothing to do with the data."""
+    return table(spark, d, "jobs").orderBy(F.md5(F.col("job_id").cast("string")), "job_id").limit(100).select("job_id")
+
+
+@query(
+    "s13_kept_by_score",
+    "select id from (select id, try_cast(regexp_extract(score, '^([0-9.]+)/5$', 1) as double) as s from applications) where s >= 3.5",
+)
+def s13_kept_by_score(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "applications").where(S.leading_number(F.col("score")) >= 3.5).select("id")
+
+
+@query(
+    "e30_date_after_word",
+    "select id, regexp_extract(notes, '(?:since|on) ([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) as day from applications where regexp_matches(notes, '(?:since|on) [0-9]{4}-[0-9]{2}-[0-9]{2}')",
+)
+def e30_date_after_word(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "applications").where(F.col("notes").rlike(r"(?:since|on) \d{4}-\d{2}-\d{2}"))
+    return a.select("id", F.regexp_extract("notes", r"(?:since|on) (\d{4}-\d{2}-\d{2})", 1).alias("day"))
+
+
+@query(
+    "e24_ordered_class",
+    "select job_id, case when location is null or trim(location) = '' then 'unknown' when starts_with(lower(location), 'remote -') then 'remote in region' when contains(lower(location), 'remote') then 'remote' when contains(location, ',') then 'city and state' else 'city' end as mode from jobs",
+)
+def e24_ordered_class(spark: SparkSession, d: str) -> DataFrame:
+    p = F.lower("location")
+    mode = (
+        F.when(F.col("location").isNull() | (F.trim("location") == ""), "unknown")
+        .when(p.startswith("remote -"), "remote in region")
+        .when(p.contains("remote"), "remote")
+        .when(p.contains(","), "city and state")
+        .otherwise("city")
+    )
+    return table(spark, d, "jobs").select("job_id", mode.alias("mode"))
+
+
+@query(
+    "d2_source_token",
+    """select sum(('0x' || substr(h, 1, 8))::bigint)::bigint as token, sum(('0x' || substr(h, 9, 8))::bigint)::bigint as second_token, count(*) as n
+       from (select md5(id || '|' || coalesce(company, '') || '|' || coalesce(role, '') || '|' || coalesce(status, '')) as h from applications)""",
+)
+def d2_source_token(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the table's content: an index built from it is rebuilt when they differ. Sums of row digests, so that no order and no gathering is needed."""
+    h = F.md5(F.concat_ws("|", F.col("id").cast("string"), *(F.coalesce(c, F.lit("")) for c in ("company", "role", "status"))))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 8), 16, 10).cast("bigint"))
+    return table(spark, d, "applications").select(h.alias("h")).agg(part(1).alias("token"), part(9).alias("second_token"), F.count("*").alias("n"))
