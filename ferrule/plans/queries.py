@@ -1024,7 +1024,7 @@ def a16_reasons_in_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a20_weighted_skills",
     """with s as (select job_id, retry_count, unnest(from_json(missing_required_skills, '["VARCHAR"]')) as skill from jobs)
-       select skill, sum(greatest(0, 5 - retry_count)) as weight, round(avg(case when retry_count >= 2 then 1.0 else 0.0 end), 4) as low_share,
+       select skill, sum(greatest(0, 5 - retry_count))::bigint as weight, round(avg(case when retry_count >= 2 then 1.0 else 0.0 end), 4) as low_share,
          case when sum(greatest(0, 5 - retry_count)) >= 100 then 'high' when sum(greatest(0, 5 - retry_count)) >= 30 then 'medium' else 'low' end as tier from s where skill not in ('Java', 'Go') group by skill""",
 )
 def a20_weighted_skills(spark: SparkSession, d: str) -> DataFrame:
@@ -1302,7 +1302,7 @@ def w_frames(spark: SparkSession, d: str) -> DataFrame:
     """Engine extra."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, d, "events").select(
-        "user_id", "event_id", F.lag("value").over(w).alias("before"), F.sum("value").over(w.rowsBetween(-2, 0)).alias("last_three"), F.ntile(4).over(w).alias("quarter")
+        "user_id", "event_id", F.lag("value").over(w).alias("before"), F.sum("value").over(w.rowsBetween(-2, 0)).alias("last_three"), F.ntile(4).over(w).cast("bigint").alias("quarter")
     )
 
 
@@ -1407,7 +1407,7 @@ def a30_dashboard(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a38_host_report",
-    "select regexp_extract(lower(raw_url), '([a-z]+)\\.example', 1) as family, count(*) as requests, sum(retry_count) as retries, count(*) filter (where queue_status = 'failed') as failed from jobs where raw_url is not null group by 1",
+    "select regexp_extract(lower(raw_url), '([a-z]+)\\.example', 1) as family, count(*) as requests, sum(retry_count)::bigint as retries, count(*) filter (where queue_status = 'failed') as failed from jobs where raw_url is not null group by 1",
 )
 def a38_host_report(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "jobs").where("raw_url is not null")
