@@ -1,13 +1,15 @@
 """Near-duplicate records with small edits: a chosen-path similarity join.
 
 A record is its set of runs of three words. A path is grown from the root by
-choosing, at each node, a few of the record's sampled tokens (consistent weighted
-samples, rarer tokens likelier); two records stay together along a branch with
-the chance of their weighted similarity. A record needs only itself to grow its
-paths, so the first levels are taken in one stride. Records with the same path
-form a bucket: small buckets are compared pair by pair on bit sketches, larger
-ones are split further along two more branches at a time. All is repeated in
-independent runs until the target recall. Pairs that remain are verified exactly.
+choosing, at each node, a few of the record's sampled tokens (consistent samples,
+all tokens alike); two records stay together along a branch with the chance of
+their Jaccard similarity. A record needs only itself to grow its paths, so the
+first levels are taken in one stride. Records with the same path form a bucket:
+small buckets and those of like records are compared pair by pair on bit
+sketches, others are split further along three more branches at a time. All is
+repeated in independent runs, as many as the target recall needs for a pair right
+at the similarity whose buckets are split to the last level (``least_recall``).
+Pairs that remain are verified exactly.
 
 Exact copies are joined once, by their representative.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb, erf
 
 import numpy as np
 import pandas as pd
@@ -27,11 +30,12 @@ from pyspark.sql import functions as F
 from ferrule.plans.session import spread, written
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLES = 128  # weighted samples of a record that paths choose from
+SAMPLES = 128  # samples of a record that paths choose from
 SKETCH = 192  # bits by which records of a bucket are compared
-BINS = 1 << 16  # in which runs of words are counted
-BRANCHES = 3
+BRANCHES = 3  # at every level: with less than 1 / similarity the recall would fall with each split
+FIRST = 3  # levels taken in one stride, whatever the number of records
 DEEPEST = 12
+MISSES = 3.3  # standard deviations by which the sketches of a pair may fall short
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,11 +69,9 @@ BRANCH_SALTS = mixed(np.arange(20_001, 20_009, dtype=np.uint64) * M1)
 BIT_SALTS = mixed(np.arange(10_001, 10_001 + SKETCH, dtype=np.uint64) * M1)
 
 
-def sampled(tokens: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The token drawn at each of ``SAMPLES`` positions: the least exponential variable with the token's weight as rate."""
-    h = mixed(tokens[:, None] ^ SALTS[None, :])
-    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-    return tokens[(-np.log(u) / weight[:, None]).argmin(axis=0)]
+def sampled(tokens: np.ndarray) -> np.ndarray:
+    """The token drawn at each of ``SAMPLES`` positions, that of the least hash: two records draw the same with the chance of their Jaccard similarity."""
+    return tokens[mixed(tokens[:, None] ^ SALTS[None, :]).argmin(axis=0)]
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -83,8 +85,9 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 def grown(samples: np.ndarray, paths: np.ndarray, branches: int) -> np.ndarray:
     """Children of each record's paths: [record, path * branches]."""
     out = []
+    start = mixed(paths + BRANCH_SALTS[0])
     for j in range(branches):
-        pick = (mixed(paths + BRANCH_SALTS[j]) % np.uint64(SAMPLES)).astype(np.int64)
+        pick = ((start + np.uint64(j * (SAMPLES // branches))) % np.uint64(SAMPLES)).astype(np.int64)  # the branches of a node choose different samples
         out.append(mixed((paths ^ mixed(BRANCH_SALTS[j : j + 1])) * M1 + np.take_along_axis(samples, pick, axis=1)))
     return np.concatenate(out, axis=1)
 
@@ -93,7 +96,34 @@ def roots(n: int, runs: int) -> np.ndarray:
     return np.tile(mixed(np.arange(1, runs + 1, dtype=np.uint64) * M2), (n, 1))
 
 
-def least_agreement(similarity: float, misses: float = 3.3) -> int:
+def survival(similarity: float, depth: int) -> float:
+    """Chance that two records share a path of ``depth`` levels in one run: a branching process with ``BRANCHES`` children."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - similarity * q) ** BRANCHES
+    return q
+
+
+def least_recall(similarity: float, runs: int, depth: int = DEEPEST) -> float:
+    """Chance that a pair right at the similarity is compared and agrees on its sketches, if its buckets are split to ``depth``.
+
+    The runs choose from the same ``SAMPLES`` positions, of which the pair agrees in
+    a binomial number. Pairs that are more alike, and less deep splits, do better.
+    """
+    share = lambda k: comb(SAMPLES, k) * similarity**k * (1 - similarity) ** (SAMPLES - k)
+    met = sum(share(k) * (1 - (1 - survival(k / SAMPLES, depth)) ** runs) for k in range(SAMPLES + 1))
+    return met * (1 + erf(MISSES / 2**0.5)) / 2
+
+
+def runs_for(similarity: float, recall: float) -> int:
+    """The least number of runs whose ``least_recall`` reaches ``recall``."""
+    for runs in range(1, 65):
+        if least_recall(similarity, runs) >= recall:
+            return runs
+    raise ValueError(f"recall {recall} at similarity {similarity} is out of reach of {BRANCHES} branches and {SKETCH} bits")
+
+
+def least_agreement(similarity: float, misses: float = MISSES) -> int:
     """Bits in which a pair of the similarity agrees but for ``misses`` standard deviations."""
     p = (1 + similarity) / 2
     return int(SKETCH * p - misses * (SKETCH * p * (1 - p)) ** 0.5)
@@ -104,14 +134,19 @@ def word_form(text: Column) -> Column:
     return F.md5(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1), " "))
 
 
-def bucket_pairs(limit: int, agree: int, final: bool):
+def bucket_pairs(limit: int, agree: int, alike: int, final: bool):
     """Reads rows (path, id, s0, s1, s2) sorted by path; gives (a, b) of the pairs agreeing enough, and (path, id) of buckets over the limit.
 
-    Holds one batch and at most ``limit`` rows of the bucket in progress. With
-    ``final`` a bucket of any size is compared whole: after so many branches its
-    records are alike, and their pairs are the result asked for.
+    Holds one batch and at most ``limit`` rows of the bucket in progress. Buckets
+    of any size are compared whole, and held, with ``final`` and where a quarter of
+    neighbouring rows agree in ``alike`` bits: their records are alike, and their
+    pairs are the result asked for, so splitting would only repeat the work.
     """
 
+    def dense(s: np.ndarray) -> bool:
+        hits = [(SKETCH - np.bitwise_count(s[k:] ^ s[:-k]).sum(axis=1).astype(np.int64)) >= alike for k in (1, 2, 5, 11) if k < len(s)]
+        return bool(hits) and float(np.concatenate(hits).mean()) >= 0.25
+
     def compare(path: np.ndarray, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, i, k = [], [], np.arange(len(path)), 0
         while len(i):
@@ -131,33 +166,48 @@ def bucket_pairs(limit: int, agree: int, final: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None  # rows of the bucket in progress
         big: int | None = None  # its path, once it is known to be too large
+        whole: int | None = None  # its path, once it is known to be compared whole
         for batch in batches:
             if not len(batch):
                 continue
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             path = part["path"].to_numpy()
             open_from = int((path == path[-1]).argmax())
-            yield from settle(part.iloc[:open_from], big)
+            yield from settle(part.iloc[:open_from], big, whole)
             rest = part.iloc[open_from:].reset_index(drop=True)
             if path[-1] != big:
                 big = None
-            if not final and (big is not None or len(rest) > limit):
-                yield big_frame(rest)
-                big, rest = path[-1], None
+            if path[-1] != whole:
+                whole = None
+            if final or whole is not None or (big is None and len(rest) <= limit):
+                continue
+            if big is None and dense(bits_of(rest)):
+                whole = path[-1]
+                continue
+            yield big_frame(rest)
+            big, rest = path[-1], None
         if rest is not None and len(rest):
-            yield from settle(rest, big)
+            yield from settle(rest, big, whole)
+
+    def bits_of(rows: pd.DataFrame) -> np.ndarray:
+        return rows[["s0", "s1", "s2"]].to_numpy().view(np.uint64)
 
-    def settle(closed: pd.DataFrame, big: int | None) -> Iterator[pd.DataFrame]:
+    def settle(closed: pd.DataFrame, big: int | None, whole: int | None) -> Iterator[pd.DataFrame]:
         if not len(closed):
             return
         path = closed["path"].to_numpy()
         edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         size = np.diff(np.r_[edges, len(path)])
         over = (size > limit) | ((path[edges] == big) if big is not None else False)
-        large = np.repeat(over & (not final), size)
+        if final:
+            over[:] = False
+        for i in np.flatnonzero(over):
+            if path[edges[i]] != big and (path[edges[i]] == whole or dense(bits_of(closed.iloc[edges[i] : edges[i] + size[i]]))):
+                over[i] = False
+        large = np.repeat(over, size)
         keep = closed[~large]
         if len(keep):
-            yield pairs_frame(*compare(keep["path"].to_numpy(), keep["id"].to_numpy(), keep[["s0", "s1", "s2"]].to_numpy().view(np.uint64)))
+            yield pairs_frame(*compare(keep["path"].to_numpy(), keep["id"].to_numpy(), bits_of(keep)))
         if large.any():
             yield big_frame(closed[large])
 
@@ -171,15 +221,16 @@ def bucket_pairs(limit: int, agree: int, final: bool):
 
 
 def similar_pairs(
-    records: DataFrame, key: str = "id", text: str = "text", similarity: float = 0.5, words: int = 3, runs: int = 4, limit: int = 400
+    records: DataFrame, key: str = "id", text: str = "text", similarity: float = 0.5, words: int = 3, recall: float = 0.995, limit: int = 400
 ) -> tuple[DataFrame, DataFrame]:
     """(links, classes): links a, b, jaccard between representatives a < b at least ``similarity`` alike; classes id, class_id of every record.
 
     Records equal in their words form a class, named by its smallest id. Similarity
     is Jaccard's over runs of ``words`` words. Records with fewer words are equal
     to their copies and similar to nothing else; null texts aren't records. Ids
-    must be unique. Recall is at least about 0.99 for pairs right at the
-    similarity and rises quickly above it; a link given is always exact.
+    must be unique. A pair right at the similarity is found with a chance of at least
+    ``recall``, however many records share its words; runs are repeated as that
+    needs. The chance rises quickly above it; a link given is always exact.
     """
     spark = records.sparkSession
     slim = spread(records.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null"))
@@ -187,20 +238,7 @@ def similar_pairs(
     rep = formed.groupBy("form").agg(F.min("id").alias("class_id"))
     classes = written(formed.select("id", "form").join(rep, "form").select("id", "class_id"), "classes")
     base = written(formed.join(classes.where("id = class_id").select("id"), "id", "left_semi").select("id", "text"), "texts")
-    n = base.count()
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BINS, dtype=np.int64)
-        for b in batches:
-            for t in b["text"]:
-                total += np.bincount((shingles(t, words) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bin": at, "n": total[at]})
-
-    bins = spread(base.select("text")).mapInPandas(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows
-    weight = np.full(BINS, 0.1, dtype=np.float64)
-    weight[bins["bin"].to_numpy(dtype=np.int64)] = np.log(np.maximum(1.0, n / np.maximum(1, bins["n"].to_numpy(dtype=np.float64)))) + 0.1
-    shared = spark.sparkContext.broadcast(weight)
+    runs = runs_for(similarity, recall)
 
     def sampled_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -210,11 +248,11 @@ def similar_pairs(
                 for i, t in zip(part["id"], part["text"]):
                     s = shingles(t, words)
                     if len(s):
-                        rows.append((i, sampled(s, shared.value[(s % np.uint64(BINS)).astype(np.int64)]).view(np.int64), *sketch(s).view(np.int64)))
+                        rows.append((i, sampled(s).view(np.int64), *sketch(s).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["id", "samples", "s0", "s1", "s2"])
 
     drawn = written(spread(base).mapInPandas(sampled_records, "id bigint, samples array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "samples")
-    depth = 1 if n < 500 else 2 if n < 20_000 else 3
+    depth = FIRST
     row = "path bigint, id bigint, s0 bigint, s1 bigint, s2 bigint"
 
     def first_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,19 +270,19 @@ def similar_pairs(
             for lo in range(0, len(b), 20_000):
                 part = b.iloc[lo : lo + 20_000]
                 samples = np.stack(part["samples"].to_numpy()).astype(np.int64).view(np.uint64)
-                yield rows_of(part, grown(samples, part["path"].to_numpy().view(np.uint64)[:, None], 2))
+                yield rows_of(part, grown(samples, part["path"].to_numpy().view(np.uint64)[:, None], BRANCHES))
 
     def rows_of(part: pd.DataFrame, paths: np.ndarray) -> pd.DataFrame:
         times = paths.shape[1]
         return pd.DataFrame({"path": paths.reshape(-1).view(np.int64), **{c: np.repeat(part[c].to_numpy(), times) for c in ("id", "s0", "s1", "s2")}})
 
-    agree = least_agreement(similarity)
+    agree, alike = least_agreement(similarity), least_agreement(similarity, 0)
     found: list[DataFrame] = []
     nodes = drawn.mapInPandas(first_paths, row)
     while True:
         parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         sorted_nodes = nodes.repartition(parts, "path").sortWithinPartitions("path", "id")
-        out = written(sorted_nodes.mapInPandas(bucket_pairs(limit, agree, depth >= DEEPEST), "path bigint, a bigint, b bigint, big boolean"), "buckets")
+        out = written(sorted_nodes.mapInPandas(bucket_pairs(limit, agree, alike, depth >= DEEPEST), "path bigint, a bigint, b bigint, big boolean"), "buckets")
         found.append(out.where("not big").select("a", "b"))
         large = out.where("big").select("path", F.col("a").alias("id"))
         if depth >= DEEPEST or large.isEmpty():

@@ -220,6 +220,28 @@ def test_similar_pairs_recall_and_exactness(spark):
     assert links.count() == 0 and classes.count() == 0
 
 
+def test_recall_under_a_template_of_a_third_of_the_rows(spark):
+    """All pairs of one template right at the similarity, and twins right at it among rows that share another, less of it, in buckets split deeply."""
+    tail = lambda r, n: " ".join(f"r{r}x{i}" for i in range(n))
+    half, part = " ".join(f"t{i}" for i in range(62)), " ".join(f"p{i}" for i in range(42))
+    texts = {i: f"{half} {tail(i, 30)}" for i in range(200)}
+    texts |= {200 + i: f"{part} {tail(1000 + i // 2, 12)} {tail(200 + i, 24)}" for i in range(200)}
+    texts |= {400 + i: tail(400 + i, 90) for i in range(200)}
+    want = brute(texts)
+    assert len(want) == 199 * 100 + 100
+    links, _ = near_dup.similar_pairs(spark.createDataFrame(list(texts.items()), "id bigint, text string"), limit=20)
+    got = {(r.a, r.b) for r in links.collect()}
+    twins = {p for p in want if p[0] >= 200}
+    assert got <= want and len(got - twins) >= 0.99 * len(want - twins) and len(got & twins) >= 97
+
+
+def test_runs_reach_the_recall_at_any_depth():
+    for recall in (0.9, 0.99, 0.999):
+        runs = near_dup.runs_for(0.5, recall)
+        assert near_dup.least_recall(0.5, runs) >= recall and (runs == 1 or near_dup.least_recall(0.5, runs - 1) < recall)
+        assert near_dup.least_recall(0.5, runs, 40) >= recall - 0.01
+
+
 def test_copies_by_class_and_pairs(spark):
     jobs = spark.createDataFrame([(i, "T", "C", "one two three four five six") for i in range(5)] + [(9, None, None, "seven eight nine ten"), (10, "t", "c", None)], "job_id bigint, title string, company string, jd_text string")
     cases = spark.createDataFrame([(0, "seven eight nine ten")], "case_no bigint, jd string")
