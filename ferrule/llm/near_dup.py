@@ -11,7 +11,7 @@ repeated in independent runs, as many as the target recall needs for a pair righ
 at the similarity whose buckets are split to the last level (``least_recall``).
 Pairs that remain are verified exactly.
 
-Exact copies are joined once, by their representative.
+Records equal in their words are joined once, by their representative.
 """
 
 from __future__ import annotations
@@ -329,26 +329,33 @@ def record_name(id: Column) -> Column:
     return F.when(id >= 0, F.concat(F.lit("job:"), id.cast("string"))).otherwise(F.concat(F.lit("case:"), (-id - 1).cast("string")))
 
 
-def ad_pairs(jobs: DataFrame, cases: DataFrame, expand: int = 100) -> DataFrame:
+def ad_pairs(jobs: DataFrame, cases: DataFrame, expand: int | None = None) -> DataFrame:
     """rec_a, rec_b: the pairs of similar ads, by name in code point order.
 
-    Copies are pairs too. Classes of up to ``expand`` copies are written out in
-    full; a larger one is given as its representative's pairs with each member and
-    with the representatives of similar classes, from which all others follow.
+    Copies are pairs too, and all pairs are given. With ``expand``, more copies than
+    that of one text, equal byte by byte, are given as the pairs of the smallest with
+    each other one, and only the smallest stands in pairs with different texts; texts
+    that differ, if only in case or punctuation, are always paired in full.
     """
-    links, classes = similar_pairs(ads(jobs, cases))
-    size = classes.groupBy("class_id").agg(F.count("*").alias("n"))
-    # The members that stand for their class in pairs: all of a small one, the representative of a large one.
-    standing = classes.join(size.where(F.col("n") <= expand).select("class_id"), "class_id").unionByName(
-        size.where(F.col("n") > expand).select("class_id", F.col("class_id").alias("id"))
-    ).select("class_id", "id")
+    records = ads(jobs, cases)
+    links, classes = similar_pairs(records)
+    # The members that stand for their class in pairs: all, or of many equal texts the smallest.
+    standing, star = classes, None
+    if expand is not None:
+        texts = records.select(F.col("id").cast("long").alias("id"), F.sha2("text", 256).alias("same"))
+        copies = classes.join(texts, "id")
+        size = copies.groupBy("class_id", "same").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        sized = written(copies.join(size, ["class_id", "same"]).select("class_id", "id", "n", "least"), "copies")
+        standing = sized.where((F.col("n") <= expand) | (F.col("id") == F.col("least"))).select("class_id", "id")
+        star = sized.where((F.col("n") > expand) & (F.col("id") != F.col("least"))).select(F.col("least").alias("x"), F.col("id").alias("y"))
     a = standing.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
     b = standing.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    small = standing.join(size.where((F.col("n") > 1) & (F.col("n") <= expand)).select("class_id"), "class_id")
-    inside = small.select("class_id", F.col("id").alias("x")).join(small.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y")
-    star = classes.join(size.where(F.col("n") > expand).select("class_id"), "class_id").where("id <> class_id").select(F.col("class_id").alias("x"), F.col("id").alias("y"))
-    names = across.unionByName(inside).unionByName(star).select(record_name(F.col("x")).alias("p"), record_name(F.col("y")).alias("q"))
+    pairs = links.join(a, "a").join(b, "b").select("x", "y")
+    inside = standing.join(standing.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"), "class_id")
+    pairs = pairs.unionByName(inside.select("class_id", F.col("id").alias("x")).join(inside.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y"))
+    if star is not None:
+        pairs = pairs.unionByName(star)
+    names = pairs.select(record_name(F.col("x")).alias("p"), record_name(F.col("y")).alias("q"))
     return names.select(F.least("p", "q").alias("rec_a"), F.greatest("p", "q").alias("rec_b"))
 
 

@@ -252,6 +252,18 @@ def test_copies_by_class_and_pairs(spark):
     assert {r.rec: r.class_rec for r in near_dup.ad_classes(jobs, cases).collect()}["job:3"] == "job:0"
 
 
+def test_many_copies_that_differ_in_punctuation_are_paired_in_full(spark):
+    body = "one two three four five six seven eight nine ten"
+    jobs = [(i, "T", "C", body + "." * i) for i in range(110)] + [(200 + i, "T", "C", body + "!") for i in range(3)] + [(300, "T", "C", body + " eleven")]
+    df = spark.createDataFrame(jobs, "job_id bigint, title string, company string, jd_text string")
+    cases = spark.createDataFrame([], "case_no bigint, jd string")
+    name = lambda ids: {tuple(sorted((f"job:{a}", f"job:{b}"))) for a, b in ids}
+    every = name(combinations([r[0] for r in jobs], 2))
+    assert {tuple(r) for r in near_dup.ad_pairs(df, cases).collect()} == every
+    less = name([(201, 202)] + [(i, k) for i in [*range(110), 300] for k in (201, 202)])
+    assert {tuple(r) for r in near_dup.ad_pairs(df, cases, expand=2).collect()} == every - less
+
+
 # 8: leakage
 
 
