@@ -80,6 +80,17 @@ def near_fingerprints(df: DataFrame, key: str, fingerprint: str, bits: int = 5)
     return a.join(b, ["i", "v"]).where("a < b").withColumn("distance", far).where(F.col("distance") <= bits).select("a", "b", "distance").distinct()
 
 
+def fingerprint_links(df: DataFrame, key: str, fingerprint: str, bits: int = 5) -> DataFrame:
+    """a, b, distance: ``near_fingerprints``, and at distance 0 each further key of a fingerprint with its smallest key.
+
+    Two keys are linked when their smallest keys are one or linked, so that no pair is lost.
+    """
+    held = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("f")).where("f is not null and k is not null").distinct()
+    least = held.groupBy("f").agg(F.min("k").alias("a"))
+    members = held.join(least, "f").where("a < k").select("a", F.col("k").alias("b"), F.lit(0).alias("distance"))
+    return near_fingerprints(df, key, fingerprint, bits).unionByName(members)
+
+
 def best_name_match(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """name, match, tier: for each distinct left name the best right one: 0 equal, 1 the right begins with it, 2 it begins with the right.
 

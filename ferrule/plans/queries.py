@@ -230,9 +230,13 @@ def j10_fuzzy_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j11_cross_listing")
 def j11_cross_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of different 64-bit fingerprints of whole document texts at most five bits apart."""
+    """Documents whose 64-bit fingerprints of the whole text are at most five bits apart.
+
+    Documents of equal fingerprint are given at distance 0 with the one of smallest
+    doc_id; it stands for them in the pairs of different fingerprints.
+    """
     docs = spread(table(spark, d, "documents").where("length(text) >= 200").select("doc_id", "text")).select("doc_id", S.simhash64(F.col("text")).alias("f"))
-    return joins.near_fingerprints(docs, "doc_id", "f", 5)
+    return joins.fingerprint_links(docs, "doc_id", "f", 5)
 
 
 @query(

@@ -165,6 +165,17 @@ def test_near_fingerprints_equal_brute_force(spark):
     assert {(r.a, r.b) for r in joins.near_fingerprints(df, "k", "f", 5).collect()} == want
 
 
+def test_fingerprint_links_lose_no_copy(spark):
+    prints = {1: 7, 2: 7, 3: 7, 4: 6, 5: 6, 6: -1, 7: -1, 8: 1 << 40}
+    df = spark.createDataFrame([*prints.items(), (2, 7), (9, None)], "k int, f bigint")
+    got = joins.fingerprint_links(df, "k", "f", 2).collect()
+    at = {(r.a, r.b): r.distance for r in got}
+    assert len(got) == len(at)
+    of = {k: k for k in prints} | {b: a for (a, b), d in at.items() if d == 0}
+    linked = {(x, y) for x in prints for y in prints if x < y and (of[x] == of[y] or (min(of[x], of[y]), max(of[x], of[y])) in at)}
+    assert linked == {(x, y) for x in prints for y in prints if x < y and bin((prints[x] ^ prints[y]) & (2**64 - 1)).count("1") <= 2}
+
+
 def test_nearest_vectors_in_blocks(spark):
     rng = random.Random(3)
     v = {i: [rng.random() for _ in range(4)] for i in range(30)}
