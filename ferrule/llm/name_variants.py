@@ -2,9 +2,10 @@
 
 Each distinct name is reduced to its own words (without legal form, line of trade,
 articles and asides; wrong decoding undone). Names become vectors of character
-trigrams weighted by rarity; a distributed sparse cosine self-join finds the pairs
-above a threshold through the prefixes of their vectors, an exact look at the
-letters grades each pair, and average-linkage clustering groups them. The
+trigrams weighted by rarity; a distributed self-join of the prefixes of their
+vectors finds the pairs that may reach a cosine, an exact look at the letters
+grades each pair, and average-linkage clustering runs on the grades. The cosine
+itself is not computed: it neither drops nor grades a pair. The
 clustering merges all pairs of mutual nearest neighbours at a time, which gives
 the same groups as merging one pair after another.
 """
