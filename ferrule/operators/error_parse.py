@@ -144,7 +144,7 @@ def parse_batch(lines: list[str], columns: int, delimiter: str = ",") -> list[tu
                 cells, edits, quotes = traced(lines[i], cost[k], back[k], delimiter)
                 wrong = len(cells) - columns
                 if wrong > 0:
-                    edits += [f"delete delimiter before cell {j}" for j in range(columns + 1, len(cells) + 1)][:20]
+                    edits += [f"delete delimiter before cell {j}" for j in range(columns + 1, len(cells) + 1)]
                 elif wrong < 0:
                     edits += [f"insert delimiter after cell {j}" for j in range(len(cells), columns)]
                 out[i] = (cells, quotes, abs(wrong), edits)

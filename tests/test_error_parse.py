@@ -113,3 +113,8 @@ def test_loaded_rows_are_typed_and_nothing_is_lost(spark, states):
 def test_empty_table(spark, states):
     df = spark.createDataFrame([], "line_no bigint, line_text string")
     assert tracker_rejects(df, states).count() == 0 and tracker_loaded(df, states).count() == 0
+
+
+def test_all_delimiter_edits_are_given():
+    cells, _, wrong, edits = parse_batch([",".join("x" * 60)], 9)[0]
+    assert len(cells) == 60 and wrong == 51 and edits == [f"delete delimiter before cell {j}" for j in range(10, 61)]
