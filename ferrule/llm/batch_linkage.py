@@ -85,7 +85,6 @@ class LinkHistory:
     spark: SparkSession
     path: str
     weights: Weights | None = None
-    threshold: float = -6.0  # a shared posting code outweighs any disagreement of typed text
     parts: list[str] = field(default_factory=list)
 
     def keys(self) -> DataFrame | None:
@@ -156,7 +155,8 @@ def ingest(history: LinkHistory, batch: DataFrame) -> DataFrame:
     """Link one batch to everything accepted before and extend the history.
 
     Gives first_job_id, job_id, score: every row of the batch whose posting an
-    earlier row (of the history or of the batch) holds. Batches come in order of
+    earlier row (of the history or of the batch) holds. An equal posting code decides;
+    the score only grades the link. Batches come in order of
     job_id. Repeated rows and a batch seen before change nothing but are reported
     again; an empty batch gives an empty result.
     """
@@ -178,7 +178,7 @@ def ingest(history: LinkHistory, batch: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), holders.alias("b")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("b.rep") < F.col("a.job_id"))
     scored = pairs.select(F.col("b.rep").alias("first_job_id"), F.col("a.job_id").alias("job_id"), history.weights.score(levels_of("a", "b")).alias("score"))
-    found = scored.where(F.col("score") >= history.threshold).groupBy("job_id").agg(
+    found = scored.groupBy("job_id").agg(
         F.min("first_job_id").alias("first_job_id"), F.max("score").alias("score")
     ).select("first_job_id", "job_id", "score")
     found = written(found, "links")

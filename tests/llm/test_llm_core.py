@@ -104,6 +104,15 @@ def test_weights_tell_matches_from_others():
     assert batch_linkage.learn_weights([]).levels["title"][2] > 0
 
 
+def test_an_equal_code_links_whatever_the_score(spark):
+    h = batch_linkage.LinkHistory(spark, batch_linkage.fresh_path(spark, "t"))
+    h.weights = batch_linkage.Weights({"link": (-13.0, 0.0, 12.7), "provider": (-13.0, 0.0, 5.0), "company": (-10.2, 0.0, 5.0), "title": (-11.4, 0.0, 5.0)})
+    p, cols = "https://a.jobs.persona.example/job/1", "job_id bigint, batch_no int, canonical_url string, raw_url string, provider_job_id string, company string, title string"
+    batch_linkage.ingest(h, spark.createDataFrame([(1, 1, None, p, None, "Alpha Foods", "Baker")], cols))
+    got = batch_linkage.ingest(h, spark.createDataFrame([(2, 2, None, p, None, "Zyx", "Welder, nights")], cols)).collect()
+    assert [(r.first_job_id, r.job_id, round(r.score, 1)) for r in got] == [(1, 2, -8.9)]
+
+
 # 1: name variants
 
 
