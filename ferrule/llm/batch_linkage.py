@@ -223,8 +223,10 @@ def joined_clusters(rows: DataFrame, holders: DataFrame) -> tuple[DataFrame, Dat
 def link_batches(jobs: DataFrame, steps: int = 4) -> DataFrame:
     """All batches of ``jobs`` taken in as they came: the old stock first, then the later ones in ``steps - 1`` runs.
 
-    ``steps`` only says how many batches one run takes in together; the result
-    doesn't depend on it, since rows of one run are linked among themselves too.
+    ``steps`` only says how many batches one run takes in together, since rows of one
+    run are linked among themselves too. The result depends on it in one case: where a
+    row with two codes joins clusters of earlier runs, the rows accepted there keep
+    the first sighting they were reported with.
     Rows without batch number count to the first batch.
     """
     spark = jobs.sparkSession
