@@ -50,12 +50,39 @@ def param(query: Column, name: str) -> Column:
     return F.regexp_extract(query, rf"(?:^|&){name}=([^&#]*)", 1)
 
 
-def posting_key(url: Column) -> Column:
-    """``site|employer|code`` in lower case, or null where the link names no posting.
+# Path segments that say nothing about employer or posting.
+COMMON_SEGMENTS = "job jobs career careers opening openings position positions posting postings vacancy vacancies apply application view detail details embed o p j en de fr es it nl pl pt".split()
+#: Parameters that identify neither page nor posting.
+IDLE_PARAMS = r"^(?:utm_[a-z]+|trk|cs_origin|[a-z]+_src|ref|referrer|source_type|fbclid|gclid|lang|language|locale|hl)="
+
+
+def general_parts(host: Column, path: Column, query: Column) -> Column:
+    """struct(site, code) of a link of unknown form: the host with the words of the path before the last, and the last; or null.
+
+    Numbers in parameters belong to the code. A code after the wording of a title is taken alone. A
+    link without such words and numbers, or of a single word without a digit, names no posting.
+    """
+    segments = F.filter(
+        F.split(F.lower(path), "/"),
+        lambda s: (s != "") & ~s.isin(COMMON_SEGMENTS) & ~s.rlike("^[a-z]{2}[-_][a-z]{2}$"),
+    )
+    numbers = F.array_sort(F.filter(F.split(F.lower(query), "&"), lambda q: q.rlike("=.*[0-9]") & ~q.rlike(IDLE_PARAMS)))
+    last = F.coalesce(F.get(segments, F.size(segments) - 1), F.lit(""))
+    after_title = F.regexp_extract(last, "^[a-z].*[-_]([a-z]{0,3}[0-9]{3,}[a-z0-9]*)$", 1)
+    code = F.concat_ws("&", F.when(last != "", F.when(after_title != "", after_title).otherwise(last)), numbers)
+    names = (F.size(numbers) > 0) | (F.size(segments) > 1) | last.rlike("[0-9]")
+    before = F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))
+    site = F.concat_ws("|", F.regexp_replace(host, r"^www\.", ""), F.array_join(before, "/"))
+    return F.when((host != "") & host.contains(".") & names & (code != ""), F.struct(site.alias("site"), code.alias("code")))
+
+
+def posting_parts(url: Column) -> Column:
+    """struct(site, code): board site with employer path, and posting code, in lower case; or null where the link names no posting.
 
     Scheme, port, letter case, doubled or closing slashes, percent-encoding, locale
     segments, the wording of a title, ``/apply``, fragments, tracking parameters and
-    the order of parameters make no difference.
+    the order of parameters make no difference. Links of the boards listed are read by their
+    forms, others by ``general_parts``.
     """
     link = unwrapped(unwrapped(url))
     rest = F.regexp_replace(link, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -64,7 +91,10 @@ def posting_key(url: Column) -> Column:
     raw_path = F.regexp_extract(after, r"^([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_url_decode(raw_path), raw_path), r"/{2,}", "/"), r"[/\s.,;]+$", "")
     query = F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1)
-    out = F.lit(None).cast("string")
+    listed = F.lit(False)
+    for board in BOARDS:
+        listed = listed | host.rlike(board.host)
+    out = F.when(~listed, general_parts(host, path, query))
     for board in reversed(BOARDS):
 
         def part(where: tuple[str, int], name: str, b: Board = board) -> Column:
@@ -78,5 +108,11 @@ def posting_key(url: Column) -> Column:
 
         employer, code = part(board.employer, board.query_employer), part(board.code, board.query_code)
         fits = host.rlike(board.host) & path.rlike(board.path) & (employer != "") & (code != "")
-        out = F.when(fits, F.concat_ws("|", F.lit(board.name.split("-")[0]), employer, code)).otherwise(out)
+        out = F.when(fits, F.struct(F.concat_ws("|", F.lit(board.name.split("-")[0]), employer).alias("site"), code.alias("code"))).otherwise(out)
     return out
+
+
+def posting_key(url: Column) -> Column:
+    """``site|code`` of ``posting_parts``, or null."""
+    parts = posting_parts(url)
+    return F.when(parts.isNotNull(), F.concat_ws("|", parts["site"], parts["code"]))
