@@ -3,15 +3,17 @@
 A record is read by a finite automaton over four places (cell start, unquoted
 cell, quoted cell, just after a quote mark in a quoted cell). Characters that the
 automaton can't take are paid for by edit operations on quote marks; a wrong
-number of cells is paid for by inserting or deleting delimiters. The parse of
-least cost (quote edits first, then delimiter edits) comes from dynamic
-programming over characters, done for a whole batch of records at once. A record
+number of cells is paid for by inserting or deleting delimiters, at the places after
+which most cells have the form of their column. The parse of least cost (quote edits
+first, then delimiter edits, then misfits) comes from dynamic programming over
+characters, done for a whole batch of records at once, and over cells and columns. A record
 of cost zero is exactly a well-formed one, and the edits of a costlier one say
 why it failed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +95,8 @@ def least_cost(lines: list[str], delimiter: str = ",", quote: str = '"') -> tupl
     return cost, back
 
 
-def traced(line: str, final: np.ndarray, back: np.ndarray, delimiter: str) -> tuple[list[str], list[str], int]:
-    """Cells, quote edits and quote cost along the least-cost parse of one line."""
+def traced(line: str, final: np.ndarray, back: np.ndarray, delimiter: str) -> tuple[list[str], list[str], int, list[int]]:
+    """Cells, quote edits, quote cost and places of the delimiters along the least-cost parse of one line."""
     ends = final + np.array([0, 0, 1, 0])
     place = int(ends.argmin())
     price, edits = int(ends[place]), []
@@ -108,12 +110,13 @@ def traced(line: str, final: np.ndarray, back: np.ndarray, delimiter: str) -> tu
         if edit != KEEP:
             edits.append(f"{EDIT_NAMES[edit]} at {at}")
         place = before
-    cells, cell = [], []
+    cells, cell, places = [], [], []
     for at, before, after, edit in reversed(steps):
         char = line[at]
         if char == delimiter and after == START:
             cells.append("".join(cell))
             cell = []
+            places.append(at)
         elif edit == QUOTE_BEFORE:
             cell.append('"')
             cell.append(char)
@@ -122,15 +125,80 @@ def traced(line: str, final: np.ndarray, back: np.ndarray, delimiter: str) -> tu
         else:
             cell.append(char)
     cells.append("".join(cell))
-    return cells, edits[::-1], price
+    return cells, edits[::-1], price, places
 
 
-def parse_batch(lines: list[str], columns: int, delimiter: str = ",") -> list[tuple]:
-    """(cells, quote edits, delimiter edits, edits) of each line, by least cost.
+def mended(cells: list[str], places: list[int], line: str, types: list[str | None]) -> list[str]:
+    """The delimiter edits of least cost that give a row one cell per type, as text with places in the line.
 
-    Delimiter edits: cells beyond ``columns`` are merged into the last one (the
-    delimiters between are deleted); missing ones are inserted empty at the end.
+    As many as cells are missing or too many; among these the ones after which most cells
+    fit their types (a pattern, or None for free text), found by dynamic programming over cells and
+    columns. A delimiter may be inserted within a cell that stands in the line as it
+    is, or beside one. Cells joined again hold a delimiter, which only free text may.
+    Equal costs go to the edits furthest to the end.
     """
+    k, n = len(cells), len(types)
+    fits = [re.compile(t) if t is not None else None for t in types]
+    bad = lambda text, i: 0 if fits[i] is None or fits[i].fullmatch(text) else 1
+    starts, ends = [0] + [p + 1 for p in places], [*places, len(line)]
+    best: list[list[tuple[int, tuple | None]]] = [[(FAR, None)] * (k + 1) for _ in range(n + 1)]  # [columns][cells] -> misfits, edit that led here
+    best[0][0] = (0, None)
+    if k > n:
+        for i in range(1, n + 1):
+            low = (FAR, -1)  # least over the cells before those joined, one cell further back each time
+            for j in range(1, k + 1):
+                if j >= 2 and best[i - 1][j - 2][0] < low[0]:
+                    low = (best[i - 1][j - 2][0], j - 2)
+                joined = (low[0] + (fits[i - 1] is not None), low[1])
+                alone = best[i - 1][j - 1][0] + bad(cells[j - 1], i - 1)
+                best[i][j] = (alone, (j - 1,)) if alone < joined[0] or joined[1] < 0 else (joined[0], (joined[1],))
+        out, j = [], k
+        for i in range(n, 0, -1):
+            before = best[i][j][1][0]
+            out += [f"delete delimiter at {places[c - 1]}" for c in range(j - 1, before, -1)]
+            j = before
+        return out[::-1]
+
+    def halves(j: int, i: int) -> tuple[int, int]:
+        """Misfits of cell j split over columns i and i + 1, and where it is split."""
+        text = cells[j]
+        low = min((bad(text, i) + bad("", i + 1), -len(text)), (bad("", i) + bad(text, i + 1), 0))
+        if line[starts[j] : ends[j]] == text and (fits[i] is not None or fits[i + 1] is not None):
+            for p in range(len(text) - 1, 0, -1):
+                if not low[0]:
+                    break
+                price = int(fits[i] is not None and not fits[i].fullmatch(text, 0, p)) + int(fits[i + 1] is not None and not fits[i + 1].fullmatch(text, p))
+                low = min(low, (price, -p))
+        return low[0], -low[1]
+
+    for i in range(n + 1):
+        for j in range(k + 1):
+            cost = best[i][j][0]
+            if cost >= FAR:
+                continue
+            steps = []
+            if j < k and i < n:
+                steps.append((i + 1, j + 1, cost + bad(cells[j], i), None))
+            if j < k and i + 1 < n:
+                price, p = halves(j, i)
+                steps.append((i + 2, j + 1, cost + price, p))
+            if i < n and j == k:
+                steps.append((i + 1, j, cost + bad("", i), -1))
+            for x, y, price, p in steps:
+                if price < best[x][y][0]:
+                    best[x][y] = (price, (i, j, p))
+    out, i, j = [], n, k
+    while (i, j) != (0, 0):
+        x, y, p = best[i][j][1]
+        if p is not None:
+            out.append(f"insert delimiter at {len(line) if p < 0 else starts[y] if p == 0 else ends[y] if p == len(cells[y]) else starts[y] + p}")
+        i, j = x, y
+    return out[::-1]
+
+
+def parse_batch(lines: list[str], types: list[str | None], delimiter: str = ",") -> list[tuple]:
+    """(cells, quote edits, delimiter edits, edits) of each line, by least cost: quote edits first, then delimiter edits (``mended``)."""
+    columns = len(types)
     out: list = [None] * len(lines)
     order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
     for lo in range(0, len(order), 2048):  # lines of like length together
@@ -141,19 +209,18 @@ def parse_batch(lines: list[str], columns: int, delimiter: str = ",") -> list[tu
             some, part = part[-take:], part[:-take]
             cost, back = least_cost([lines[i] for i in some], delimiter)
             for k, i in enumerate(some):
-                cells, edits, quotes = traced(lines[i], cost[k], back[k], delimiter)
+                cells, edits, quotes, places = traced(lines[i], cost[k], back[k], delimiter)
                 wrong = len(cells) - columns
-                if wrong > 0:
-                    edits += [f"delete delimiter before cell {j}" for j in range(columns + 1, len(cells) + 1)]
-                elif wrong < 0:
-                    edits += [f"insert delimiter after cell {j}" for j in range(len(cells), columns)]
+                if wrong:
+                    edits += mended(cells, places, lines[i], types)
                 out[i] = (cells, quotes, abs(wrong), edits)
     return out
 
 
-def error_parse(df: DataFrame, text: str, columns: int, delimiter: str = ",", into: str = "parse") -> DataFrame:
+def error_parse(df: DataFrame, text: str, columns: int, delimiter: str = ",", into: str = "parse", types: list[str | None] | None = None) -> DataFrame:
     """Adds ``into``: struct(cells array<string>, quote_edits int, delimiter_edits int, edits array<string>).
 
+    ``types``, a pattern per column (None: free text), tell where a delimiter is missing or too many.
     Null text has no cells, no quote edits and ``columns`` delimiter edits; empty
     text is one empty cell. Other columns of ``df``, whatever their names, pass
     through. Repeated rows give repeated results; an empty table gives none.
@@ -162,15 +229,17 @@ def error_parse(df: DataFrame, text: str, columns: int, delimiter: str = ",", in
     @F.pandas_udf("cells array<string>, quote_edits int, delimiter_edits int, edits array<string>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for lines in batches:
-            got = parse_batch([x if isinstance(x, str) else "" for x in lines], columns, delimiter)
+            got = parse_batch([x if isinstance(x, str) else "" for x in lines], types or [None] * columns, delimiter)
             for i, x in enumerate(lines):
                 if not isinstance(x, str):
-                    got[i] = ([], 0, columns, [f"insert delimiter after cell {j}" for j in range(columns)])
+                    got[i] = ([], 0, columns, ["insert delimiter at 0"] * columns)
             yield pd.DataFrame(got, columns=["cells", "quote_edits", "delimiter_edits", "edits"])
 
     return df.withColumn(into, parse(F.col(f"`{text}`")))
 
 
+# The forms of the tracker's columns; free text is None.
+TYPES = [r" {0,9}\d{1,18} {0,9}", r"\d{4}-\d{2}-\d{2}", None, None, r"—|\d{1,9}(?:\.\d{1,9})?/5", r"[^\W\d_][\w ./()-]{0,60}", r"[✅❌—-]?", r"(?:\[.{0,300}\]\(.{0,1000}\))?|—", None]
 NAMES = ("num", "date", "company", "role", "score", "status", "pdf", "report", "notes")
 
 
@@ -189,7 +258,7 @@ def tracker_checked(lines: DataFrame, states: DataFrame) -> DataFrame:
     other than line_no and line_text aren't carried; repeated rows are each given.
     """
     known = states.select(F.lower("spelling").alias("_spelling")).where("_spelling is not null").distinct()
-    parsed = error_parse(spread(lines.select("line_no", "line_text")), "line_text", len(NAMES), into="_parse")
+    parsed = error_parse(spread(lines.select("line_no", "line_text")), "line_text", len(NAMES), into="_parse", types=TYPES)
     cell = {n: F.get(F.col("_parse.cells"), i) for i, n in enumerate(NAMES)}
     joined = parsed.withColumn("_status", F.lower(cell["status"])).join(known, F.col("_status") == F.col("_spelling"), "left")
     reason = (

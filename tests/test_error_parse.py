@@ -1,9 +1,12 @@
+import random
 import re
+from itertools import combinations, combinations_with_replacement
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ferrule.operators.error_parse import mended as delimiter_edits
 from ferrule.operators.error_parse import parse_batch, tracker_checked, tracker_loaded, tracker_rejects
 
 
@@ -28,7 +31,7 @@ def strict(line: str) -> int | None:
 @settings(max_examples=600, deadline=None)
 @given(st.lists(st.text(alphabet='a",\n ', max_size=12), min_size=1, max_size=6))
 def test_zero_cost_is_exactly_well_formed(lines):
-    for line, (cells, quotes, delimiters, _) in zip(lines, parse_batch(lines, 3)):
+    for line, (cells, quotes, delimiters, _) in zip(lines, parse_batch(lines, [None] * 3)):
         n = strict(line)
         assert (quotes == 0) == (n is not None)
         if n is not None:
@@ -54,7 +57,7 @@ def mended(line: str) -> int:
 
 @pytest.mark.parametrize("line", ['a"b', '"ab', '"a"b', '"a" ', 'a,"b,c', '""a""', '"a,b"c', '" ","', "a,b", ' "a"', '"a""', '"a"""'])
 def test_cost_is_the_fewest_quote_edits(line):
-    assert parse_batch([line], 2)[0][1] == mended(line)
+    assert parse_batch([line], [None] * 2)[0][1] == mended(line)
 
 
 def row(notes="", score="3.0/5", status="Applied"):
@@ -116,5 +119,58 @@ def test_empty_table(spark, states):
 
 
 def test_all_delimiter_edits_are_given():
-    cells, _, wrong, edits = parse_batch([",".join("x" * 60)], 9)[0]
-    assert len(cells) == 60 and wrong == 51 and edits == [f"delete delimiter before cell {j}" for j in range(10, 61)]
+    cells, _, wrong, edits = parse_batch([",".join("x" * 60)], [None] * 9)[0]
+    assert len(cells) == 60 and wrong == 51 and edits == [f"delete delimiter at {2 * j + 1}" for j in range(8, 59)]
+
+
+def slow_misfits(cells, places, line, types):
+    """The least misfits over every choice of delimiters to delete or of places to insert them."""
+    fits = lambda parts: sum(t is not None and not re.fullmatch(t, x) for t, x in zip(types, parts))
+    extra = len(cells) - len(types)
+    if extra > 0:
+        return min(fits(split_at(line, [p for p in places if p not in gone])) for gone in combinations(places, extra))
+    marks = range(len(line) + 1)
+    return min(fits(split_at(line, places, new)) for new in combinations_with_replacement(marks, -extra))
+
+
+def split_at(line, places, new=()):
+    text, parts = "", []
+    for i in range(len(line) + 1):
+        for _ in range(list(new).count(i)):
+            parts.append(text)
+            text = ""
+        if i in places:
+            parts.append(text)
+            text = ""
+        elif i < len(line):
+            text += line[i]
+    return [*parts, text]
+
+
+def applied(line, places, edits):
+    gone = {int(e.split()[-1]) for e in edits if e.startswith("delete")}
+    return split_at(line, [p for p in places if p not in gone], [int(e.split()[-1]) for e in edits if e.startswith("insert")])
+
+
+def test_delimiter_edits_fit_the_types_best():
+    rng = random.Random(4)
+    types = [r"\d+", r"\d{2}-\d{2}", None, r"[a-z]+|"]
+    for _ in range(300):
+        line = "".join(rng.choice("12a-,,") for _ in range(rng.randint(0, 9))) if rng.random() < 0.5 else rng.choice(["112-34,x,a", "1,12-34xa", "1,12-34,a,b,c", "1,1,2-3,x", "7,12-34,x,y,z,abc"])
+        places = [i for i, c in enumerate(line) if c == ","]
+        cells = line.split(",")
+        if len(cells) == len(types):
+            continue
+        edits = delimiter_edits(cells, places, line, types)
+        parts = applied(line, places, edits)
+        assert len(edits) == abs(len(cells) - len(types)) and len(parts) == len(types)
+        got = sum(t is not None and not re.fullmatch(t, x) for t, x in zip(types, parts))
+        if len(cells) > len(types) or len(types) - len(cells) == 1:
+            assert got == slow_misfits(cells, places, line, types), line
+
+
+def test_missing_first_delimiter_is_reported_at_its_place(spark, states):
+    line = "12026-01-01,A,B,3.0/5,Applied,✅,[0](reports/0.md),z"
+    df = spark.createDataFrame([(1, line), (2, "1,2026-01-01,A,B, more,3.0/5,Applied,✅,[0](reports/0.md),z"), (3, "x" * 300_000)], "line_no bigint, line_text string")
+    got = {r.line_no: r.edits for r in tracker_rejects(df, states).collect()}
+    assert got[1] == ["insert delimiter at 1"] and got[2] == ["delete delimiter at 16"] and len(got[3]) == 8
