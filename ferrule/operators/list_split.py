@@ -36,6 +36,10 @@ NUMBERED = re.compile(r"\s*\(?1[.)]\s")
 SENTENCE_END = re.compile(r"[.!?…][\"'”’)]*\s*$")
 
 
+#: A full stop or exclamation mark after a word, not one of an abbreviation or ellipsis.
+FULL_STOP = re.compile(r"(?<=[^\W_]{2})[.!]$")
+
+
 def cut(text: str) -> list[str]:
     """Raw values in order, still with their quotes and list marks."""
     out: list[str] = []
@@ -132,18 +136,30 @@ def tidy(value: str) -> str:
     return value
 
 
-def sentences(text: str) -> bool:
-    """Whether a cell is running text: it ends like a sentence and no part of it is bulleted or numbered."""
-    if not SENTENCE_END.search(text) or text.count("\n") or NUMBERED.match(text):
+def sentences(text: str, found: list[str]) -> bool:
+    """Whether a cell, of which the tokenizer made the values ``found``, is running text.
+
+    It ends like a sentence, no part of it is bulleted, numbered or on a line of its own, and
+    the values between its delimiters are clauses rather than facts: some value has more than three
+    words (of two values only, more than two), or commas part it in two only.
+    """
+    if not SENTENCE_END.search(text) or text.count("\n") or NUMBERED.match(text) or len(text.split()) < 3:
         return False
-    return len(text.split()) >= 3
+    marked = any(c in text for c in ";|\t•·")
+    longest = max((len(v.split()) for v in found), default=0)
+    return longest > (3 if len(found) > 2 else 2) or len(found) < (2 if marked else 3)
 
 
 def values(text: str) -> list[str]:
-    """The non-empty values of one cell, in order; [] for running text and for empty cells."""
-    if not text or not text.strip() or sentences(text):
+    """The non-empty values of one cell, in order; [] for running text and for empty cells. A list that ends like a sentence ends without its full stop."""
+    if not text or not text.strip():
+        return []
+    found = [v for v in map(tidy, cut(text)) if v]
+    if sentences(text, found):
         return []
-    return [v for v in map(tidy, cut(text)) if v]
+    if len(found) > 1 and FULL_STOP.search(found[-1]) and not any(FULL_STOP.search(v) for v in found[:-1]):
+        found[-1] = FULL_STOP.sub("", found[-1])
+    return found
 
 
 def split_values(df: DataFrame, key: str, text: str, least: int = 2, index: str = "seq_no", item: str = "item") -> DataFrame:
