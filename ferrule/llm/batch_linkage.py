@@ -1,30 +1,36 @@
 """Deduplicating new batches against all history: incremental record linkage.
 
-The history is a persisted table of blocking keys, one row per key with the
-representative (smallest id) of its cluster and the fields that are compared. A
-new batch is reduced to its keys, probes that table, and its candidate pairs are
-scored field by field with weights learned by expectation-maximization over the
-counts of agreement patterns (Fellegi-Sunter). Only keys of the batch and
-clusters that it joins together are written; the table is append-only and the
-smallest representative of a key holds, so a merge is a few more rows.
+The history is a persisted table of blocking keys, bucketed by key, with the first
+row that held each key, the fields that are compared, and the row's representative
+(the smallest id of its cluster). A new batch is reduced to its keys and probes
+that table once; the history is neither shuffled nor written again. Each candidate
+pair is scored field by field (board site, posting code, provider id, employer,
+title) with weights learned by expectation-maximization over the counts of
+agreement patterns (Fellegi-Sunter), and is linked where a match is likelier than
+not. Clusters that a batch joins are kept in a union-find mapping (replaced
+representative to present one), which is small and is the only thing rewritten.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.links import posting_key
+from ferrule.functions.links import posting_parts
 from ferrule.plans.session import fresh_path, written
+from ferrule.plans.skew import salted_lookup
 
-FIELDS = ("link", "provider", "company", "title")
+FIELDS = ("site", "code", "provider", "company", "title")
+TYPED = ("provider", "company", "title")
 #: Starting chance of each agreement level (other, near, same) in a matching and a differing pair.
-START_MATCH = {"link": (0.01, 0.01, 0.98), "provider": (0.05, 0.05, 0.9), "company": (0.1, 0.2, 0.7), "title": (0.05, 0.1, 0.85)}
-START_OTHER = {"link": (0.98, 0.01, 0.01), "provider": (0.8, 0.1, 0.1), "company": (0.3, 0.2, 0.5), "title": (0.4, 0.2, 0.4)}
+START_MATCH = {"site": (0.02, 0.01, 0.97), "code": (0.01, 0.01, 0.98), "provider": (0.05, 0.05, 0.9), "company": (0.1, 0.2, 0.7), "title": (0.05, 0.1, 0.85)}
+START_OTHER = {"site": (0.9, 0.01, 0.09), "code": (0.7, 0.01, 0.29), "provider": (0.8, 0.1, 0.1), "company": (0.3, 0.2, 0.5), "title": (0.4, 0.2, 0.4)}
 LEAST = 1e-4
+ENTRY = ("key", "sig", "rep", *FIELDS)
 
 
 def letters(c: Column) -> Column:
@@ -39,12 +45,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 @dataclass
 class Weights:
-    """Per field and level: log2 of how much likelier it is in a matching pair; the prior adds ``base``."""
+    """Per field and level: log2 of how much likelier it is in a matching pair; ``base`` is that of a match before any field is seen."""
 
     levels: dict[str, tuple[float, float, float]]
     base: float = 0.0
 
     def score(self, levels: dict[str, Column]) -> Column:
+        """Above zero where a match is likelier than not."""
         total = F.lit(float(self.base))
         for name, column in levels.items():
             w = self.levels[name]
@@ -75,169 +82,222 @@ def learn_weights(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50)
         share = min(max(matched / total, 0.01), 0.99)
         m = {f: [x / sum(gm[f]) for x in gm[f]] for f in FIELDS}
         u = {f: [x / sum(gu[f]) for x in gu[f]] for f in FIELDS}
-    return Weights({f: tuple(math.log2(m[f][i] / u[f][i]) for i in range(3)) for f in FIELDS}, 0.0)
+    return bounded({f: tuple(math.log2(m[f][i] / u[f][i]) for i in range(3)) for f in FIELDS}, math.log2(share / (1 - share)))
 
 
-@dataclass
-class LinkHistory:
-    """The persisted blocking-key table and the weights learned so far."""
+def bounded(levels: dict[str, tuple[float, float, float]], base: float) -> Weights:
+    """The weights, kept from outvoting an identity: a code equal on one site links whatever was typed, a different code or site never does.
 
-    spark: SparkSession
-    path: str
-    weights: Weights | None = None
-    parts: list[str] = field(default_factory=list)
+    Where site or code is missing, the other fields decide with the weights as learned.
+    """
+    got = {f: tuple(max(-20.0, min(20.0, x)) for x in w) for f, w in levels.items()}
+    room = sum(max(0.0, -w[0], -w[1]) for w in (got[f] for f in TYPED))
+    sure = got["site"][2] + got["code"][2] + base - room
+    if sure <= 0:
+        lift = (1.0 - sure) / 2
+        got["site"], got["code"] = (*got["site"][:2], got["site"][2] + lift), (*got["code"][:2], got["code"][2] + lift)
+    gain = max(0.0, base) + sum(max(0.0, *got[f]) for f in TYPED)
+    for a, b in (("site", "code"), ("code", "site")):
+        got[a] = (min(got[a][0], -(gain + max(0.0, got[b][2]) + 1.0)), *got[a][1:])
+    return Weights(got, base)
 
-    def keys(self) -> DataFrame | None:
-        """key, rep, link, company, title, provider; a key may occur more than once, its smallest rep holds."""
-        if not self.parts:
-            return None
-        return self.spark.read.parquet(*self.parts)
 
-    def append(self, rows: DataFrame) -> None:
-        part = f"{self.path}/part-{len(self.parts):05d}"
-        rows.write.parquet(part)
-        self.parts.append(part)
+class LinkHistory:
+    """The persisted blocking-key table, bucketed by key, the representative mapping, and the weights learned from the first batch."""
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"ferrule_history_{uuid.uuid4().hex}"
+        self.weights: Weights | None = None
+        self.mapping: DataFrame | None = None
+        self.filled = False
 
-def records(jobs: DataFrame) -> DataFrame:
-    """job_id, nth, key, link, company, title, provider: one row per row and blocking key; ``nth`` counts a row's keys from 0.
+    def entries(self) -> DataFrame | None:
+        """key, sig, rep and the fields compared; rep as it was when the entry was written."""
+        return self.spark.table(self.name) if self.filled else None
 
-    Keys come from raw_url and canonical_url; a row whose links name no posting
-    falls back on provider id and employer, and without those it has no key.
+    def append(self, rows: DataFrame) -> None:
+        """One file a bucket; none is rewritten."""
+        w = rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").option("path", self.path).format("parquet")
+        w.mode("append").saveAsTable(self.name)
+        self.filled = True
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with present representatives."""
+        if self.mapping is None:
+            return rows
+        return rows.join(self.mapping, F.col("rep") == F.col("was"), "left").withColumn("rep", F.coalesce("now", "rep")).drop("was", "now")
+
+    def merge(self, moves: DataFrame) -> None:
+        """Takes in (was, now), each ``now`` present: mappings to a replaced representative follow it."""
+        if self.mapping is not None:
+            old, new = self.mapping.alias("o"), moves.alias("n")
+            kept = old.join(new, F.col("o.now") == F.col("n.was"), "left").select("o.was", F.coalesce("n.now", "o.now").alias("now"))
+            moves = moves.unionByName(kept)
+        self.mapping = written(moves, "mapping")
+
+    def close(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
+
+def records(jobs: DataFrame, *carried: str) -> DataFrame:
+    """job_id, key, sig and ``FIELDS`` (and the columns ``carried``): one row per row and blocking key.
+
+    Keys: site and code of either link; code and first letters of the employer, which
+    meets the code under links of another form; provider id and employer. ``sig``
+    tells apart what different postings one key may stand for. Rows without any key have nothing to be compared by.
     """
-    by_provider = F.when(
-        (F.coalesce(F.trim("provider_job_id"), F.lit("")) != "") & (letters(F.col("company")) != ""),
-        F.concat_ws("|", F.lit("provider"), letters(F.col("company")), F.lower(F.trim("provider_job_id"))),
-    )
     base = jobs.where("job_id is not null").select(
         "job_id",
-        posting_key(F.col("raw_url")).alias("k1"),
-        posting_key(F.col("canonical_url")).alias("k2"),
-        by_provider.alias("k3"),
+        *carried,
+        posting_parts(F.col("raw_url")).alias("p1"),
+        posting_parts(F.col("canonical_url")).alias("p2"),
         letters(F.col("company")).alias("company"),
         letters(F.col("title")).alias("title"),
-        F.lower(F.trim("provider_job_id")).alias("provider"),
+        F.nullif(F.lower(F.trim("provider_job_id")), F.lit("")).alias("provider"),
     )
-    links = F.array_distinct(F.filter(F.array("k1", "k2"), lambda k: k.isNotNull()))
-    keys = F.when(F.size(links) > 0, links).when(F.col("k3").isNotNull(), F.array("k3"))
-    return base.select("job_id", F.posexplode(keys).alias("nth", "key"), F.coalesce("k1", "k2").alias("link"), "company", "title", "provider")
+    parts = F.array_distinct(F.filter(F.array("p1", "p2"), lambda p: p.isNotNull()))
+    none = F.struct(F.lit(None).cast("string").alias("site"), F.lit(None).cast("string").alias("code"))
+    keyed = lambda key, p: F.struct(key.alias("key"), p["site"].alias("site"), p["code"].alias("code"))
+    begin = F.substring(F.coalesce("company", F.lit("")), 1, 6)
+    by_link = F.transform("parts", lambda p: keyed(F.concat_ws("|", F.lit("link"), p["site"], p["code"]), p))
+    by_code = F.when(begin != "", F.transform("parts", lambda p: keyed(F.concat_ws("|", F.lit("code"), p["code"], begin), p)))
+    provided = F.col("provider").isNotNull() & (F.coalesce("company", F.lit("")) != "")
+    by_provider = F.when(provided, F.transform(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(none)), lambda p: keyed(F.concat_ws("|", F.lit("provider"), "company", "provider"), p)))
+    empty = F.array().cast("array<struct<key:string,site:string,code:string>>")
+    every = F.concat(F.coalesce(by_link, empty), F.coalesce(by_code, empty), F.coalesce(by_provider, empty))
+    rows = base.withColumn("parts", parts).select("job_id", *carried, F.explode(every).alias("k"), "company", "title", "provider")
+    sig = F.when(F.col("k.code").isNotNull(), F.concat_ws("|", "k.site", "k.code")).otherwise(F.concat_ws("|", F.lit("-"), "company", "provider"))
+    return rows.select("job_id", *carried, "k.key", sig.alias("sig"), "k.site", "k.code", "provider", "company", "title")
 
 
 def levels_of(a: str, b: str) -> dict[str, Column]:
     c = lambda side, name: F.col(f"{side}.{name}")
+    whole = lambda name: F.when(c(a, name).isNull() | c(b, name).isNull(), -1).when(c(a, name) == c(b, name), 2).otherwise(0)
     return {
-        "link": F.when(c(a, "key") == c(b, "key"), 2).otherwise(0),
-        "provider": F.when(c(a, "provider").isNull() | c(b, "provider").isNull(), -1).when(c(a, "provider") == c(b, "provider"), 2).otherwise(0),
+        "site": whole("site"),
+        "code": whole("code"),
+        "provider": whole("provider"),
         "company": likeness(c(a, "company"), c(b, "company")),
         "title": likeness(c(a, "title"), c(b, "title")),
     }
 
 
-def pattern_counts(rows: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """How often each pattern of agreement occurs among neighbours of the first batch: a few dozen rows whatever its size.
+def entries_of(rows: DataFrame, id: str) -> DataFrame:
+    """The first row of each key and sig."""
+    first = rows.groupBy("key", "sig").agg(F.min(F.struct(F.col(id).alias("rep"), *FIELDS)).alias("m"))
+    return first.select("key", "sig", "m.rep", *(f"m.{f}" for f in FIELDS))
+
 
-    Neighbours are rows next to each other in order of key, and in order of
-    employer and title (hashed into ranges, so that no group is gathered whole).
+def candidates(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    """job_id, rep and the fields of both (structs a, b): every row with the earlier holders of its keys; a hot key's rows are spread by salt."""
+    a = rows.select("job_id", "key", F.struct(*FIELDS).alias("a"))
+    b = holders.select("key", "rep", F.struct(*FIELDS).alias("b"))
+    return salted_lookup(a, b, "key", "job_id", how="inner").where("rep < job_id").select("job_id", "rep", "a", "b")
+
+
+def pattern_counts(rows: DataFrame, holders: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """How often each pattern of agreement occurs among the candidate pairs of the first batch and among neighbours: at most a few hundred counts.
+
+    Neighbours, rows next to each other in order of key and in order of employer and
+    title (hashed into ranges, so that no group is gathered whole), show how differing pairs look.
     """
-    side = F.struct("key", "provider", "company", "title")
-    got = None
+    side = F.struct("site", "code", "provider", "company", "title")
+    got = candidates(rows, holders).select("a", "b")
     for order in (["key"], ["company", "title", "key"]):
         part = F.pmod(F.xxhash64(*order[: max(1, len(order) - 1)]), F.lit(4096))
         w = Window.partitionBy("_g").orderBy(*order, "job_id")
         grained = rows.withColumn("_g", F.concat_ws("/", part, F.pmod(F.floor(F.col("job_id") / 1000), F.lit(64))))
-        pairs = grained.select(side.alias("a"), F.lag(side).over(w).alias("b")).where("b is not null")
-        one = pairs.select(*(c.alias(n) for n, c in levels_of("a", "b").items())).groupBy(*FIELDS).count()
-        got = one if got is None else got.unionByName(one)
-    return [(tuple(int(r[f]) for f in FIELDS), int(r["count"])) for r in got.groupBy(*FIELDS).agg(F.sum("count").alias("count")).collect()]
+        got = got.unionByName(grained.select(side.alias("a"), F.lag(side).over(w).alias("b")).where("b is not null"))
+    one = got.select(*(c.alias(n) for n, c in levels_of("a", "b").items())).groupBy(*FIELDS).count()
+    return [(tuple(int(r[f]) for f in FIELDS), int(r["count"])) for r in one.collect()]
 
 
 def ingest(history: LinkHistory, batch: DataFrame) -> DataFrame:
     """Link one batch to everything accepted before and extend the history.
 
     Gives first_job_id, job_id, score: every row of the batch whose posting an
-    earlier row (of the history or of the batch) holds. An equal posting code decides;
-    the score only grades the link. Batches come in order of
-    job_id. Repeated rows and a batch seen before change nothing but are reported
-    again; an empty batch gives an empty result.
+    earlier row (of the history or of the batch) holds, where a match is likelier than
+    not by the learned weights. Batches come in order of job_id. Repeated rows and
+    a batch seen before change nothing but are reported again; an empty batch gives
+    an empty result.
     """
-    rows = written(records(batch), "records")
-    if history.weights is None:
-        history.weights = learn_weights(pattern_counts(rows))
-    fields = ("link", "company", "title", "provider")
-    local = rows.groupBy("key").agg(F.min(F.struct("job_id", *fields)).alias("m")).select("key", F.col("m.job_id").alias("rep"), *(F.col(f"m.{f}").alias(f) for f in fields))
-    old = history.keys()
+    return ingest_records(history, written(records(batch), "records"))
+
+
+def ingest_records(history: LinkHistory, rows: DataFrame) -> DataFrame:
+    own = entries_of(rows, "job_id")
+    old = history.entries()
     if old is not None:
-        probed = old.join(local.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("rep", *fields)).alias("m"))
-        probed = probed.select("key", F.col("m.rep").alias("rep"), *(F.col(f"m.{f}").alias(f) for f in fields))
-        holders = local.select(*probed.columns).unionByName(probed).groupBy("key").agg(F.min(F.struct("rep", *fields)).alias("m"))
-        holders = holders.select("key", F.col("m.rep").alias("rep"), *(F.col(f"m.{f}").alias(f) for f in fields))
+        probed = history.found(old.join(own.select("key").distinct(), "key", "left_semi").select(*ENTRY))
+        both = own.withColumn("new", F.lit(True)).unionByName(probed.withColumn("new", F.lit(False)))
+        first = both.groupBy("key", "sig").agg(F.min(F.struct("rep", *FIELDS)).alias("m"), F.min("new").alias("new"))
+        holders = first.select("key", "sig", "m.rep", *(f"m.{f}" for f in FIELDS), "new")
     else:
-        holders = local
+        holders = own.withColumn("new", F.lit(True))
     holders = written(holders, "holders")
-    holders, merged = joined_clusters(rows, holders)
-    a, b = rows.alias("a"), holders.alias("b")
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("b.rep") < F.col("a.job_id"))
-    scored = pairs.select(F.col("b.rep").alias("first_job_id"), F.col("a.job_id").alias("job_id"), history.weights.score(levels_of("a", "b")).alias("score"))
-    found = scored.groupBy("job_id").agg(
-        F.min("first_job_id").alias("first_job_id"), F.max("score").alias("score")
-    ).select("first_job_id", "job_id", "score")
-    found = written(found, "links")
-    fresh = holders
-    if old is not None:
-        known = old.join(local.select("key"), "key", "left_semi").select("key", "rep").distinct()
-        fresh = holders.join(known, ["key", "rep"], "left_anti").select(*holders.columns)
-        if merged is not None:
-            moved = old.join(merged, old["rep"] == merged["was"]).select("key", merged["now"].alias("rep"), *fields)
-            fresh = fresh.unionByName(moved)
-    history.append(fresh)
+    if history.weights is None:
+        history.weights = learn_weights(pattern_counts(rows, holders))
+    scored = candidates(rows, holders).select("job_id", "rep", history.weights.score(levels_of("a", "b")).alias("score")).where("score > 0")
+    scored = written(scored.groupBy("job_id", "rep").agg(F.max("score").alias("score")), "scored")
+    low = scored.groupBy("job_id").agg(F.min("rep").alias("low"), F.max("score").alias("score"))
+    # Representatives that are found to be one with a smaller one: two of one row, and rows of this batch that are linked themselves.
+    several = scored.join(low.select("job_id", "low"), "job_id").where("rep <> low").select(F.col("rep").alias("was"), F.col("low").alias("now"))
+    chained = low.join(scored.select(F.col("rep").alias("job_id")).distinct(), "job_id", "left_semi").select(F.col("job_id").alias("was"), F.col("low").alias("now"))
+    edges = written(several.unionByName(chained).distinct(), "edges")
+    links = low.withColumnRenamed("low", "rep")
+    if not edges.isEmpty():
+        moves = joined_clusters(edges)
+        links = links.join(moves, F.col("rep") == F.col("was"), "left").withColumn("rep", F.coalesce("now", "rep")).drop("was", "now")
+        history.merge(moves)
+    found = written(links.where("rep < job_id").select(F.col("rep").alias("first_job_id"), "job_id", "score"), "links")
+    fresh = holders.where("new").drop("new").join(found.select(F.col("job_id").alias("rep"), "first_job_id"), "rep", "left")
+    history.append(fresh.withColumn("rep", F.coalesce("first_job_id", "rep")).select(*ENTRY))
     return found
 
 
-def joined_clusters(rows: DataFrame, holders: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Union-find over keys that share a row: holders with their smallest representative, and the representatives replaced (was, now).
+def joined_clusters(edges: DataFrame) -> DataFrame:
+    """(was, now): union-find over pairs of representatives that are one; every one but the smallest of its cluster, with that.
 
-    Rows with a single key join nothing, so only rows with several keys and the
-    clusters they touch take part, over as many rounds as the longest chain needs.
+    Each round gives a node the smallest label among its neighbours and follows labels
+    once more, until none changes; only clusters that the batch touches take part.
     """
-    several = rows.where("nth > 0").select("job_id").distinct()
-    if several.isEmpty():
-        return holders, None
-    member = rows.join(several, "job_id", "left_semi").select("job_id", "key").distinct()
-    labels = written(member.join(holders.select("key", "rep"), "key").select("job_id", "key", F.col("rep").alias("was"), F.col("rep").alias("rep")), "labels")
+    both = edges.select(F.col("was").alias("x"), F.col("now").alias("y"))
+    both = written(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "pairs")
+    labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("now")).select(F.col("x").alias("was"), "now")
+    labels = written(labels, "labels")
     while True:
-        by_row = labels.groupBy("job_id").agg(F.min("rep").alias("low"))
-        step = labels.join(by_row, "job_id")
-        by_old = step.groupBy("was").agg(F.min("low").alias("low2"))
-        nxt = written(step.join(by_old, "was").select("job_id", "key", "was", F.least("low", "low2").alias("rep")), "labels")
-        changed = nxt.alias("n").join(labels.alias("l"), ["job_id", "key"]).where(F.col("n.rep") != F.col("l.rep")).limit(1).count()
-        labels = nxt
-        if not changed:
-            break
-    merged = labels.where("was <> rep").groupBy("was").agg(F.min("rep").alias("now"))
-    merged = written(merged, "merged")
-    moved = holders.join(merged, F.col("rep") == F.col("was"), "left")
-    fields = [c for c in holders.columns if c not in ("key", "rep")]
-    return written(moved.select("key", F.coalesce("now", "rep").alias("rep"), *fields), "holders"), merged
-
-
-def link_batches(jobs: DataFrame, steps: int = 4) -> DataFrame:
-    """All batches of ``jobs`` taken in as they came: the old stock first, then the later ones in ``steps - 1`` runs.
-
-    ``steps`` only says how many batches one run takes in together, since rows of one
-    run are linked among themselves too. The result depends on it in one case: where a
-    row with two codes joins clusters of earlier runs, the rows accepted there keep
-    the first sighting they were reported with.
-    Rows without batch number count to the first batch.
+        near = both.join(labels, F.col("y") == F.col("was")).groupBy("x").agg(F.min("now").alias("near"))
+        step = labels.join(near, F.col("was") == F.col("x")).select("was", "now", F.least("now", "near").alias("next"))
+        jump = labels.select(F.col("was").alias("via"), F.col("now").alias("far"))
+        step = written(step.join(jump, F.col("next") == F.col("via"), "left").select("was", "now", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
+        stable = step.where("next <> now").isEmpty()
+        labels = step.select("was", F.col("next").alias("now"))
+        if stable:
+            return labels.where("was <> now")
+
+
+def link_batches(jobs: DataFrame) -> DataFrame:
+    """All batches of ``jobs`` taken in one after another, as they came.
+
+    The keys of all rows are made once and written by batch, so that each run reads its
+    own batch only. Rows without batch number come first. Where a later
+    row shows two clusters to be one, rows accepted before keep the first sighting
+    they were reported with.
     """
     spark = jobs.sparkSession
-    slim = jobs.select("job_id", F.col("batch_no").cast("int").alias("batch_no"), "canonical_url", "raw_url", "provider_job_id", "company", "title")
-    low, high = slim.agg(F.min("batch_no"), F.max("batch_no")).first()
-    low, high = low or 0, high or 0
-    edges = sorted({low, *(low + round((high - low) * i / max(1, steps - 1)) for i in range(steps)), high})
+    number = F.coalesce(F.col("batch_no").cast("int"), F.lit(-(2**31)))
+    slim = jobs.select("job_id", number.alias("batch_no"), "canonical_url", "raw_url", "provider_job_id", "company", "title")
+    path = fresh_path(spark, "batches")
+    keyed = records(slim, "batch_no")
+    keyed.write.partitionBy("batch_no").parquet(path)
+    every = spark.read.schema(keyed.schema).parquet(path)
     history = LinkHistory(spark, fresh_path(spark, "history"))
-    number = F.coalesce("batch_no", F.lit(low))
-    out, before = None, low - 1
-    for edge in edges:
-        found = ingest(history, slim.where((number > before) & (number <= edge)))
-        out, before = found if out is None else out.unionByName(found), edge
+    out = None
+    for r in every.select("batch_no").distinct().orderBy("batch_no").collect():  # a row per batch
+        found = ingest_records(history, every.where(F.col("batch_no") == r["batch_no"]).drop("batch_no"))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "first_job_id bigint, job_id bigint, score double")
     return out
