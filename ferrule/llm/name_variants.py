@@ -1,13 +1,14 @@
 """Variant spellings of names typed by people.
 
 Each distinct name is reduced to its own words (without legal form, line of trade,
-articles and asides; wrong decoding undone). Names become vectors of character
-trigrams weighted by rarity; a distributed self-join of the prefixes of their
-vectors finds the pairs that may reach a cosine, an exact look at the letters
-grades each pair, and average-linkage clustering runs on the grades. The cosine
-itself is not computed: it neither drops nor grades a pair. The
-clustering merges all pairs of mutual nearest neighbours at a time, which gives
-the same groups as merging one pair after another.
+articles and asides; wrong decoding undone, short forms of given names written
+out). Names become vectors of character trigrams weighted by rarity. A distributed
+self-join of the prefixes of these sparse vectors finds the pairs that may reach
+the cosine threshold, and their cosine is computed. Pairs that reach it pass
+if their letters or words agree (``agrees``), since firms that share one word may be
+as close in trigrams as two spellings of one firm; average-linkage clustering
+then runs on the cosines. The clustering merges all pairs of mutual nearest
+neighbours at a time, which gives the same groups as merging one pair after another.
 """
 
 from __future__ import annotations
@@ -55,10 +56,18 @@ TRADES = {
 LEGAL = frozenset("gmbh corp corporation plc ltd limited ag llc inc incorporated sas sa bv nv co company kg oy ab srl spa".split())
 # Words that say nothing about the firm.
 FILLERS = frozenset("the and careers jobs hiring und et y".split())
+# Short forms of given names.
+SHORT_NAMES = {
+    "robert": "bob bobby rob robbie", "william": "bill billy will liam", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "jonathan": "jon", "michael": "mike mick",
+    "thomas": "tom tommy", "edward": "ed eddie ted", "charles": "charlie chuck", "joseph": "joe joey", "david": "dave", "daniel": "dan danny", "matthew": "matt", "anthony": "tony",
+    "christopher": "chris", "alexander": "alex", "benjamin": "ben", "samuel": "sam", "elizabeth": "liz beth betty", "margaret": "maggie peggy", "katherine": "kate kathy katie", "jennifer": "jen jenny",
+}
+FULL_NAME = {short: name for name, forms in SHORT_NAMES.items() for short in forms.split()}
 KEYWORDS = {a: trade for trade, short in TRADES.items() for a in (trade, *short)}
 FOLD = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d"})
 ANY = "?"  # stands for a letter lost in decoding
 NICK = re.compile(r"^[A-Z][a-z]{2}[A-Z][a-z]{2}$")
+ACRONYM = re.compile(r"^[A-Z]{3,5}$")
 
 
 def undone(name: str) -> str:
@@ -91,8 +100,8 @@ def trade_of(word: str, loose: bool = False) -> str | None:
     return best[1] if best else None
 
 
-def parsed(name: str) -> tuple[str, str, str, bool]:
-    """(own words in alphabetical order, line of trade or '', nickname or '', whether the nickname is all there is).
+def parsed(name: str) -> tuple[str, str, str, bool, str]:
+    """(own words in alphabetical order, line of trade or '', nickname or '', whether the nickname is all there is, initials or '' or, of what may be initials only, ``=`` and these).
 
     ``BarTas (Barbar-Tasklisk Engineering)`` carries a nickname and the name; of
     ``BTE - Barbar-Tasklisk Engineering`` and asides in brackets only the name counts.
@@ -103,17 +112,18 @@ def parsed(name: str) -> tuple[str, str, str, bool]:
         nick, text = folded(m[1].lower()), m[2]
     text = re.sub(r"\([^()]*\)", " ", text)
     text = re.sub(r"^\s*[A-Z]{2,4}\s+[-–]\s+", "", text)
-    text = re.sub(r"\b([A-Za-z])\.([A-Za-z])\.?(?=\W|$)", r"\1\2", text)
+    text = re.sub(r"\b(?:[A-Za-z]\.)+(?:[A-Za-z]\.?(?=\W|$)|(?<=\.[A-Za-z]\.)(?=\W|$))", lambda m: m.group().replace(".", ""), text)
     found = re.findall(rf"(?:[^\W\d_]|{LOST})+|\d+", text)
     words: list[tuple[str, str]] = [(folded(w.lower().replace(LOST, ANY)), w) for w in found]
-    own, trade = [], ""
+    own, trade, first = [], "", ""
     for w, typed in words:
         if not w.strip(ANY) or w in FILLERS or w in LEGAL:
             continue
+        first += w[0]
         if (t := trade_of(w)) and not trade:
             trade = t
             continue
-        own.append((w, typed))
+        own.append((FULL_NAME.get(w, w), typed))
     if not trade and len(own) > 1:  # an abbreviation with a slip, beside own words long enough to stand without it
         rest = sum(len(w) for w, _ in own)
         for w, typed in sorted((own[-1], own[0]), key=lambda x: len(x[0])):
@@ -121,12 +131,15 @@ def parsed(name: str) -> tuple[str, str, str, bool]:
                 trade = t
                 own.remove((w, typed))
                 break
+    initials = first if len(first) >= 3 and ANY not in first else ""
     alone = len(own) == 1 and bool(NICK.match(folded(own[0][1])))
+    if len(own) == 1 and not trade and ACRONYM.match(folded(own[0][1])):
+        return own[0][0], "", "", False, "=" + own[0][0]
     if alone:
         nick = own[0][0]
     elif not nick and len(own) == 2 and all(len(w) >= 4 and ANY not in w for w, _ in own):
         nick = own[0][0][:3] + own[1][0][:3]
-    return " ".join(sorted(w for w, _ in own)), trade, nick, alone
+    return " ".join(sorted(w for w, _ in own)), trade, nick, alone, initials
 
 
 def any_distance(a: str, b: str) -> int:
@@ -152,15 +165,44 @@ def distance(a: str, b: str) -> int:
     return best
 
 
-def grade(edits: int, size: int, bare: bool = False) -> float:
-    """How surely two names of compatible trade are one: near certain up to two edits in names of nine letters or more; less where one names no trade (``bare``)."""
-    if edits == 0:
-        return 1.0
-    if edits == 1:
-        return 0.95 if size >= 6 else 0.3
-    if edits == 2:
-        return (0.5 if bare else 0.85) if size >= 9 else 0.2
-    return 0.0
+def may_differ(size: int) -> int:
+    """Edits that two spellings of ``size`` letters may be apart: one, and with nine letters or more about two in nine."""
+    return max(1, 2 * size // 9)
+
+
+def is_short(word: str) -> bool:
+    """Whether a word may stand for a longer one."""
+    return len(word) <= 3
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Its beginning; or its first letter and further ones in order, up to three letters."""
+    if not short or not word or len(short) >= len(word) or short[0] != word[0]:
+        return False
+    rest = iter(word)
+    return word.startswith(short) or (len(short) <= 3 and all(c in rest for c in short))
+
+
+def words_agree(a: str, b: str) -> bool:
+    """Whether the words of two names stand for each other one by one, some of them abbreviated, at least one of four letters or more in full.
+
+    Of names of two full words or more in common, one may say more than the other.
+    """
+    x, y = sorted((a.split(), b.split()), key=len)
+    same = [w for w in x if w in y]
+    full = [w for w in same if len(w) >= 4]
+    left, right = [w for w in x if w not in same], [w for w in y if w not in same]
+    if not left:
+        return len(x) == len(y) or len(full) >= 2
+    if not full or len(left) != len(right) or len(left) > 3:
+        return False
+    return any(all(abbreviates(p, q) or abbreviates(q, p) for p, q in zip(left, o)) for o in permutations(right))
+
+
+def agrees(a: str, b: str) -> bool:
+    """Whether the own words of two names can be spellings of one: few edits for their length, or words that stand for each other."""
+    size = min(len(a.replace(" ", "")), len(b.replace(" ", "")))
+    return distance(a, b) <= may_differ(size) or words_agree(a, b)
 
 
 def average_linkage(nodes: DataFrame, edges: DataFrame, at_least: float) -> DataFrame:
@@ -216,86 +258,100 @@ def letter_bits(own: str) -> int:
     return bits
 
 
-def cosine_candidates(nodes: DataFrame, threshold: float, edits: int = 2) -> DataFrame:
-    """a, b: pairs of nodes (a < b) whose vectors may reach the cosine ``threshold``, of the same trade or one without, and whose letters allow at most ``edits`` edits.
+def cosine_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, cosine: the pairs of nodes (a < b) whose vectors reach the cosine ``threshold``, of the same trade or one without, and whose letters may agree.
 
-    ``nodes``: node, own, trade, bits, lost. Of each vector only the prefix of its
+    ``nodes``: node, own, trade, bits, lost, size, short. Of each vector only the prefix of its
     heaviest trigrams is joined: the rest is too light to reach the threshold by
     itself. Trigrams that many names share weigh little and fall behind the prefix.
-    Letters are compared in the join, so that hardly any pair leaves it in vain.
+    Which letters occur is compared in the join, so that hardly any pair leaves it in
+    vain (``may_differ`` bounds the edits, each of which changes two of the bits); names with
+    short words, which may be abbreviations, and names that hold another's words are let through.
     """
     padded = F.transform(F.split("own", " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
     grams = F.array_distinct(
         F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, F.lit(3)))))
     )
-    each = nodes.select("node", "trade", "bits", "lost", F.explode(F.filter(grams, lambda g: ~g.contains(ANY))).alias("gram"))
+    carried = ["trade", "bits", "lost", "size", "short"]
+    each = nodes.select("node", *carried, F.explode(F.filter(grams, lambda g: ~g.contains(ANY))).alias("gram"))
     each = written(each, "grams")
     n = nodes.count()
     weight = F.log(F.lit(float(max(n, 1))) / F.col("df")) + 0.1
-    df = each.groupBy("gram").agg(F.count("*").alias("df")).withColumn("w2", weight * weight).select("gram", "w2")
-    heavy = Window.partitionBy("node").orderBy(F.desc("w2"), "gram")
+    df = each.groupBy("gram").agg(F.count("*").alias("df")).withColumn("w", weight).select("gram", "w")
+    w2 = F.col("w") * F.col("w")
+    heavy = Window.partitionBy("node").orderBy(F.desc("w"), "gram")
     total = Window.partitionBy("node")
-    left = F.sum("w2").over(heavy.rowsBetween(0, Window.unboundedFollowing)) / F.sum("w2").over(total)
-    prefix = each.join(df, "gram").withColumn("left", left).where(F.col("left") >= threshold * threshold).select("node", "trade", "bits", "lost", "gram")
-    prefix = written(prefix, "prefixes")
-    x = prefix.select(F.col("node").alias("a"), F.col("trade").alias("ta"), F.col("bits").alias("ma"), F.col("lost").alias("xa"), "gram")
-    y = prefix.select(F.col("node").alias("b"), F.col("trade").alias("tb"), F.col("bits").alias("mb"), F.col("lost").alias("xb"), "gram")
-    near = (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * edits + F.col("xa") + F.col("xb")) & (F.col("a") != F.col("b"))
-    same = x.where("ta <> ''").join(y.where("tb <> ''"), (x["gram"] == y["gram"]) & (F.col("ta") == F.col("tb")) & near & (F.col("a") < F.col("b")))
-    bare = x.where("ta = ''").join(y, (x["gram"] == y["gram"]) & near)
-    pairs = same.select("a", "b").unionByName(bare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return pairs.distinct()
-
-
-def name_clusters(names: DataFrame, threshold: float = 0.25, at_least: float = 0.3) -> DataFrame:
+    left = F.sum(w2).over(heavy.rowsBetween(0, Window.unboundedFollowing)) / F.sum(w2).over(total)
+    weighed = written(each.join(df, "gram").withColumn("left", left), "weighed")
+    prefix = weighed.where(F.col("left") >= threshold * threshold).select("node", *carried, "gram")
+    x = prefix.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", *carried)))
+    y = prefix.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", *carried)))
+    edits = F.greatest(F.lit(1), F.floor(F.least("size_a", "size_b") * 2 / 9))
+    differing = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    near = (differing <= 2 * edits + F.col("lost_a") + F.col("lost_b")) | F.col("short_a") | F.col("short_b")
+    # One name holding all letters of the other may hold its words.
+    holds = (F.col("bits_a").bitwiseAND(F.col("bits_b")) == F.col("bits_a")) | (F.col("bits_a").bitwiseAND(F.col("bits_b")) == F.col("bits_b"))
+    near = near | (holds & (F.least("size_a", "size_b") >= 8))
+    same = x.where("trade_a <> ''").join(y.where("trade_b <> ''"), (x["gram"] == y["gram"]) & (F.col("trade_a") == F.col("trade_b")) & near & (F.col("node_a") < F.col("node_b")))
+    bare = x.where("trade_a = ''").join(y, (x["gram"] == y["gram"]) & near & (F.col("node_a") != F.col("node_b")))
+    ends = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    pairs = same.select(*ends).unionByName(bare.select(*ends)).distinct()
+    vectors = weighed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"), F.sqrt(F.sum(w2)).alias("norm"))  # as long as a name
+    met = pairs.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(
+        vectors.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b"
+    )
+    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda t, g: t + F.col("va")[g] * F.col("vb")[g])
+    return met.select("a", "b", F.round(dot / F.col("na") / F.col("nb"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+
+
+def name_clusters(names: DataFrame, threshold: float = 0.2, at_least: float = 0.2) -> DataFrame:
     """name, cluster: each distinct non-null ``name`` with the entity it stands for.
 
-    Names without own words (empty, or of legal form and trade alone) are entities
-    of their own. Names with letters lost in decoding fit any letter there. A bare
-    nickname goes to the entity that carries it, first by a name that spells it
-    out, then of the same trade, then with more spellings.
+    ``threshold``: least cosine of a pair; ``at_least``: least mean cosine of two
+    clusters that merge. Names without own words (empty, or of legal form and trade
+    alone) are entities of their own. Names with letters lost in decoding fit any
+    letter there. A bare nickname goes to the entity that carries it, first by a name
+    that spells it out, then of the same trade, then with more spellings; bare initials
+    to the one entity that has them, if there is just one.
     """
     distinct = names.where("name is not null").select("name").distinct()
+    columns = "name string, own string, trade string, nick string, alone boolean, initials string, spelt boolean, bits bigint, lost int, size int, short boolean"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(x, *parsed(x)) for x in b["name"]]
-            yield pd.DataFrame(
-                [(*r, "(" in r[0], letter_bits(r[1]), r[1].count(ANY)) for r in rows], columns=["name", "own", "trade", "nick", "alone", "spelt", "bits", "lost"]
-            )
+            more = [("(" in r[0], letter_bits(r[1]), r[1].count(ANY), len(r[1].replace(" ", "")), any(is_short(w) for w in r[1].split())) for r in rows]
+            yield pd.DataFrame([(*r, *m) for r, m in zip(rows, more)], columns=[c.split()[0] for c in columns.split(", ")])
 
-    table = written(spread(distinct).mapInPandas(parse, "name string, own string, trade string, nick string, alone boolean, spelt boolean, bits bigint, lost int"), "names")
+    table = written(spread(distinct).mapInPandas(parse, columns), "names")
     node = F.xxhash64("own", "trade")
     real = table.where("own <> '' and not alone").withColumn("node", node)
-    nodes = written(real.groupBy("node", "own", "trade", "bits", "lost").agg(F.count("*").alias("size")), "nodes")
-    letters = F.array_join(F.array_sort(F.split(F.regexp_replace("own", r"[ ?]", ""), "")), "")
-    side = nodes.select("node", "own", (F.col("trade") == "").alias("bare"), letters.alias("letters"), "lost")
-    a = side.select(F.col("node").alias("a"), F.col("own").alias("oa"), F.col("letters").alias("la"), F.col("lost").alias("xa"), F.col("bare").alias("ba"))
-    b = side.select(F.col("node").alias("b"), F.col("own").alias("ob"), F.col("letters").alias("lb"), F.col("lost").alias("xb"), F.col("bare").alias("bb"))
-    # An edit changes at most two of the sorted letters; pairs more than two edits apart count as 0.
-    close = F.expr("levenshtein(la, lb, 12) between 0 and 4 + xa + xb")
-    graded = cosine_candidates(nodes, threshold).join(a, "a").join(b, "b").where(close).select("a", "b", "oa", "ob", (F.col("ba") | F.col("bb")).alias("bare"))
+    nodes = written(real.groupBy("node", "own", "trade", "bits", "lost", "size", "short").agg(F.count("*").alias("times")), "nodes")
+    side = nodes.select("node", "own")
+    pairs = cosine_pairs(nodes, threshold).join(side.select(F.col("node").alias("a"), F.col("own").alias("oa")), "a").join(side.select(F.col("node").alias("b"), F.col("own").alias("ob")), "b")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p, q, s, t, bare in zip(batch["a"], batch["b"], batch["oa"], batch["ob"], batch["bare"]):
-                sim = grade(distance(s, t), min(len(s.replace(" ", "")), len(t.replace(" ", ""))), bool(bare))
-                if sim > 0:
-                    rows.append((p, q, sim))
-            yield pd.DataFrame(rows, columns=["a", "b", "sim"])
-
-    edges = graded.mapInPandas(judge, "a bigint, b bigint, sim double")
+            yield batch.loc[[agrees(s, t) for s, t in zip(batch["oa"], batch["ob"])], ["a", "b", "sim"]]
+
+    edges = pairs.select("a", "b", "oa", "ob", F.col("cosine").alias("sim")).mapInPandas(judge, "a bigint, b bigint, sim double")
+    # Equal vectors, which a trade may part from a name without one: cosine one.
     exact = nodes.select("own", F.col("node").alias("a")).join(nodes.select("own", F.col("node").alias("b"), "trade"), "own").where("trade = '' and a <> b")
     edges = edges.unionByName(exact.select("a", "b", F.lit(1.0).alias("sim")))
-    clusters = written(average_linkage(nodes.select("node", "size"), edges, at_least), "clusters")
-    own = real.join(clusters, "node").select("name", "trade", "nick", "spelt", "cluster")
+    clusters = written(average_linkage(nodes.select("node", F.col("times").alias("size")), edges, at_least), "clusters")
+    own = real.join(clusters, "node").select("name", "trade", "nick", "initials", "spelt", "cluster")
     own = written(own, "own")
     holders = own.where("nick <> ''").groupBy("nick", "trade", "cluster").agg(F.max("spelt").alias("spelt"), F.count("*").alias("n"))
     bare = table.where("alone").select("name", "nick", F.col("trade").alias("said"))
     fits = bare.join(holders, "nick").where("said = '' or trade = '' or said = trade")
     chosen = fits.groupBy("name").agg(F.max(F.struct("spelt", (F.col("said") == F.col("trade")).alias("same"), "n", "cluster")).alias("c")).select("name", F.col("c.cluster").alias("cluster"))
-    named = own.select("name", "cluster").unionByName(chosen)
+    # Names that are initials and nothing else, and like no other name.
+    bare_initials = F.col("initials").startswith("=")
+    single = own.where("initials <> ''").where(~bare_initials).groupBy("initials").agg(F.min("cluster").alias("to"), F.max("cluster").alias("other")).where("to = other").select("initials", "to")
+    only = own.groupBy("cluster").agg(F.min(F.when(bare_initials, F.substring("initials", 2, 9))).alias("initials"), F.min(bare_initials).alias("only")).where("only").join(single, "initials").select("cluster", "to")
+    owned = own.join(only, "cluster", "left").select("name", F.coalesce("to", "cluster").alias("cluster"))
+    named = owned.unionByName(chosen)
     rest = table.join(named.select("name"), "name", "left_anti").select("name", F.xxhash64("name", F.lit("own")).alias("cluster"))
     return named.unionByName(rest)
 
