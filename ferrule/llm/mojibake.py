@@ -8,6 +8,12 @@ bigrams of the language, and bigrams, groups and the shares of the swaps are
 re-estimated from that. The learned table is then applied to every cell, again
 while it changes anything, since text may have been damaged more than once.
 Signs that stand for lost characters mark a cell as damaged for good.
+
+Where text of one single-byte page was read with another, one character stands for
+one letter and nothing shows in the bytes. Marks that keep standing inside words
+give such a source away; the letter behind each is learned by
+expectation-maximization from the letters around it (``learned_swaps``), also for pages
+that aren't listed, and put back with ``translate()``.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import codecs
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -186,12 +193,106 @@ class Bigrams:
         return sum(self(a, b) for a, b in zip(text, text[1:]))
 
 
+# Marks that may rightly stand inside words.
+JOINING = set("’‘‐‑–—·•…ªº´ʼ™®©\u00ad\u200b\u200c\u200d\ufeff°²³×" + LOST) - set("²³")
+SINGLE_BYTE = [p for p in PAGES if p not in WIDE]
+
+
+def is_mark(c: str) -> bool:
+    """Neither letter nor ASCII, and nothing that joins words."""
+    return not c.isascii() and unicodedata.category(c)[0] in "SNP" and c not in JOINING
+
+
+@lru_cache(maxsize=1)
+def page_swaps() -> dict[tuple[str, str], dict[str, str]]:
+    """(page read with, page written in) -> character read -> letter meant."""
+    read = {p: bytes(range(0x80, 0x100)).decode(p, "replace") for p in SINGLE_BYTE}
+    return {(x, y): {a: b for a, b in zip(read[x], read[y]) if a != b and b.isalpha() and LOST not in (a, b)} for x in read for y in read if x != y}
+
+
+def learned_swaps(rows: list[tuple[str, str, str, str, str, int, int]], rounds: int = 10, least: int = 3, sure: float = 0.9) -> dict[str, dict[str, str]]:
+    """source -> {character: letter}: single-byte swaps, from the counts of characters that form no group.
+
+    A mark met ``least`` times, mostly between letters, stands for a letter. How well a
+    letter fits is told by the letters around it, as they stand around that letter in
+    the clean text of all sources. Swaps of known pages only raise the chance of the letters
+    they give; their shares are re-estimated from the assignments. Other characters
+    of the source are replaced where the likeliest swap replaces them and their neighbours agree.
+    """
+    around: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    for source, kind, group, _, near, side, n in rows:
+        if not kind:
+            around[(source, group)][side][near.lower() if near.isascii() else near] += n
+    marks: dict[str, list[str]] = defaultdict(list)
+    for (source, c), (before, after) in around.items():
+        inside = min(sum(n for x, n in side.items() if x.isalpha()) for side in (before, after))
+        if is_mark(c) and inside >= least and 2 * inside > sum(before.values()):
+            marks[source].append(c)
+    out: dict[str, dict[str, str]] = {}
+    for source in marks:
+        letters: dict[str, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        for (other, c), sides in around.items():
+            if other != source and c.isalpha():
+                for total, side in zip(letters[c], sides):
+                    total.update(side)
+        if not letters:
+            continue
+        alphabet = {x for sides in letters.values() for side in sides for x in side}
+        size = len(alphabet) + 1
+
+        def fit(c: str, letter: str, letters=letters, size=size, source=source) -> float:
+            return sum(n * math.log((known[x] + 0.5) / (sum(known.values()) + 0.5 * size)) for known, seen in zip(letters[letter], around[(source, c)]) for x, n in seen.items())
+
+        fits = {c: {x: fit(c, x) for x in letters} for s, c in around if s == source and (is_mark(c) or c.isalpha())}
+        swaps = page_swaps()
+        share = dict.fromkeys(swaps, 1.0 / len(swaps))
+        common = sum(sum(a.values()) for a, _ in letters.values())
+        posterior: dict[str, dict[str, float]] = {}
+        for _ in range(rounds):
+            given: dict[str, Counter] = defaultdict(Counter)
+            for pair, p in share.items():
+                for c in marks[source]:
+                    if (x := swaps[pair].get(c)) in letters:
+                        given[c][x] += p
+            weight = Counter()
+            for c in marks[source]:
+                score = {x: f + math.log(0.8 * given[c][x] + 0.2 * (sum(letters[x][0].values()) + 1) / (common + len(letters))) for x, f in fits[c].items()}
+                top = max(score.values())
+                mass = {x: math.exp(v - top) for x, v in score.items()}
+                norm = sum(mass.values())
+                posterior[c] = {x: m / norm for x, m in mass.items()}
+                for pair, p in share.items():
+                    if p and (x := swaps[pair].get(c)) in posterior[c] and given[c][x]:
+                        weight[pair] += posterior[c][x] * p / given[c][x]
+            norm = sum(weight.values()) or 1.0
+            share = {pair: weight[pair] / norm for pair in swaps} if weight else share
+        table = {c: x for c in marks[source] for x, p in posterior[c].items() if p >= sure}
+        for c in fits:
+            if c in marks[source] or not table:
+                continue
+            likely: Counter = Counter()  # the letter that the likely swaps give, over the pages that have the character
+            for pair, p in share.items():
+                if (x := swaps[pair].get(c)) in letters:
+                    likely[x] += p
+            score = {x: fits[c][x] + math.log(p) for x, p in likely.items() if p > 0.01}
+            if score:
+                best = max(score, key=lambda x: (score[x], x))
+                if score[best] > fits[c].get(c, -math.inf) and sum(math.exp(v - score[best]) for v in score.values()) * sure <= 1:
+                    table[c] = best
+        if any(c in table for c in marks[source]):
+            out[source] = table
+    return out
+
+
 class Model:
-    """Learned for one source: how common each page's swap is, how surely a group stands for letters, and the bigrams."""
+    """Learned for one source: how common each page's swap is, how surely a group stands for letters, the bigrams, and single-byte swaps."""
 
-    def __init__(self, bigrams: Bigrams, share: dict[str, float], sure: dict[tuple[str, str], float]):
+    def __init__(self, bigrams: Bigrams, share: dict[str, float], sure: dict[tuple[str, str], float], swap: dict[str, str] | None = None):
         self.bigrams, self.share, self.sure = bigrams, share, sure
         self.cache: dict[tuple[str, str, str], str] = {}
+        self.swap = str.maketrans(swap or {})
+        marks = "".join(re.escape(c) for c in swap or {} if is_mark(c))
+        self.marked = re.compile(rf"(?<=[^\W\d_])[{marks}]|[{marks}](?=[^\W\d_])") if marks else None
 
     def mended_run(self, before: str, run: str, after: str) -> str:
         key = (before, run, after)
@@ -214,6 +315,8 @@ class Model:
             if mended == text:
                 break
             text = mended
+        if self.marked and self.marked.search(text):
+            text = text.translate(self.swap)
         return text
 
 
@@ -290,13 +393,15 @@ def learn(rows: list[tuple[str, str, str, str, str, int, int]], rounds: int = 10
         for text, chance in p.items():
             if text:
                 sure[source][(group, text)] = chance
-    return {s: Model(bigrams, share[s], sure[s]) for s in sources}
+    swaps = learned_swaps(rows)
+    return {s: Model(bigrams, share[s], sure[s], swaps.get(s)) for s in sources}
 
 
-def damaged_cells(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def damaged_cells(rows: DataFrame, key: str, fields: list[str], source: str | None = None) -> DataFrame:
     """key, field, damaged_text, restored_text, complete: each damaged cell and its text as far as it can be restored.
 
-    ``complete`` is false where characters are lost for good. Null, empty and pure
+    Every field is a source of its own; where ``source`` names a column, every field of each
+    of its values. ``complete`` is false where characters are lost for good. Null, empty and pure
     ASCII cells are never damaged; correct text in any script is left alone.
     Texts are read whole. Repeated rows are each reported; other columns of
     ``rows`` aren't carried.
@@ -304,19 +409,20 @@ def damaged_cells(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     spark = rows.sparkSession
     cells = rows.select(
         F.col(f"`{key}`").alias("k"),
+        (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source else F.lit("")).alias("s"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").alias("t")) for f in fields))).alias("c"),
-    ).select("k", "c.f", "c.t").where("t is not null").where(F.col("t").rlike(r"[^\x00-\x7f]"))
+    ).select("k", "c.f", F.concat_ws("|", "c.f", "s").alias("s"), "c.t").where("t is not null").where(F.col("t").rlike(r"[^\x00-\x7f]"))
     cells = spread(cells)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             total: Counter = Counter()
-            for (f, t), n in Counter(zip(b["f"], b["t"])).items():
+            for (f, t), n in Counter(zip(b["s"], b["t"])).items():
                 for x, c in observed(t).items():
                     total[(f, *x)] += n * c
             yield pd.DataFrame([(*x, c) for x, c in total.items()], columns=["source", "kind", "group", "letters", "near", "side", "n"])
 
-    seen = cells.select("f", "t").mapInPandas(count, "source string, kind string, `group` string, letters string, near string, side int, n bigint")
+    seen = cells.select("s", "t").mapInPandas(count, "source string, kind string, `group` string, letters string, near string, side int, n bigint")
     # At most one row per group of characters, neighbouring character and page: bounded by the alphabets, not by the rows.
     rows_seen = seen.groupBy("source", "kind", "group", "letters", "near", "side").agg(F.sum("n").alias("n")).collect()
     shared = spark.sparkContext.broadcast(learn([tuple(r) for r in rows_seen]))
@@ -325,8 +431,8 @@ def damaged_cells(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
         models = shared.value
         for b in batches:
             out = []
-            for k, f, t in zip(b["k"], b["f"], b["t"]):
-                mended = models[f].mend(t) if f in models else t
+            for k, f, s, t in zip(b["k"], b["f"], b["s"], b["t"]):
+                mended = models[s].mend(t) if s in models else t
                 if mended != t or LOST in t:
                     out.append((k, f, t, mended, LOST not in mended))
             yield pd.DataFrame(out, columns=[key, "field", "damaged_text", "restored_text", "complete"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("ferrule.llm.queries")
 
+from ferrule.functions.links import posting_key  # noqa: E402
 from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake, name_variants, near_dup  # noqa: E402
 from ferrule.llm.queries import QUERIES  # noqa: E402
 
@@ -66,25 +67,24 @@ def test_map_values(spark):
 # 3: batches against history
 
 
-def test_links_equal_brute_force_and_do_not_depend_on_the_batches(spark):
+def test_links_equal_brute_force(spark):
     rng = random.Random(5)
     rows = []
     for i in range(1, 200):
         n = rng.randint(1, 60)
         url = rng.choice([f"https://acme.jobs.persona.example/job/{n}", f"http://ACME.jobs.persona.example:80//job/{n}/?utm_source=x", f"boards.leafhire.example/acme/jobs/{n}"])
-        rows.append((i, 1 + i // 20, None if rng.random() < 0.2 else "", url, None, rng.choice(["Acme", "ACME Inc", None, ""]), rng.choice(["Dev", "Ops", None])))
+        rows.append((i, 1 + i // 60, None if rng.random() < 0.2 else "", url, None, rng.choice(["Acme", "ACME Inc", None, ""]), rng.choice(["Dev", "Ops", None])))
     rows += [(900, 12, None, None, None, None, None), (901, 12, None, "no link", "77", "Beta", "x"), (902, None, None, "", "77", "beta", "y")]
     df = spark.createDataFrame(rows, "job_id bigint, batch_no int, canonical_url string, raw_url string, provider_job_id string, company string, title string").withColumn("rep", F.lit("clash"))
-    key = {r.job_id: r.k for r in df.select("job_id", batch_linkage.posting_key(F.col("raw_url")).alias("k")).collect() if r.k}
+    key = {r.job_id: r.k for r in df.select("job_id", posting_key(F.col("raw_url")).alias("k")).collect() if r.k}
     first: dict = {}
     want = set()
     for i in sorted(key):
         if key[i] in first:
             want.add((first[key[i]], i))
         first.setdefault(key[i], i)
-    for steps in (1, 3, 12):
-        got = {(r.first_job_id, r.job_id) for r in batch_linkage.link_batches(df, steps).collect()}
-        assert got - {(901, 902)} == want
+    got = {(r.first_job_id, r.job_id) for r in batch_linkage.link_batches(df).collect()}
+    assert got - {(901, 902)} == want
     assert batch_linkage.link_batches(df.limit(0)).count() == 0
 
 
@@ -99,18 +99,47 @@ def test_clusters_joined_by_a_later_row(spark):
 
 
 def test_weights_tell_matches_from_others():
-    w = batch_linkage.learn_weights([((2, 2, 2, 2), 500), ((2, -1, 1, 2), 300), ((0, 0, 2, 0), 600), ((0, -1, 0, 0), 400)])
-    assert w.levels["link"][2] > 3 and w.levels["link"][0] < -3
+    w = batch_linkage.learn_weights([((2, 2, 2, 2, 2), 500), ((2, 2, -1, 1, 2), 300), ((0, 0, 0, 2, 0), 600), ((2, 0, -1, 0, 0), 400)])
+    assert w.levels["code"][2] > 3 and w.levels["code"][0] < -3
     assert batch_linkage.learn_weights([]).levels["title"][2] > 0
 
 
-def test_an_equal_code_links_whatever_the_score(spark):
+COLS = "job_id bigint, batch_no int, canonical_url string, raw_url string, provider_job_id string, company string, title string"
+
+
+def ingested(spark, weights, *batches):
     h = batch_linkage.LinkHistory(spark, batch_linkage.fresh_path(spark, "t"))
-    h.weights = batch_linkage.Weights({"link": (-13.0, 0.0, 12.7), "provider": (-13.0, 0.0, 5.0), "company": (-10.2, 0.0, 5.0), "title": (-11.4, 0.0, 5.0)})
-    p, cols = "https://a.jobs.persona.example/job/1", "job_id bigint, batch_no int, canonical_url string, raw_url string, provider_job_id string, company string, title string"
-    batch_linkage.ingest(h, spark.createDataFrame([(1, 1, None, p, None, "Alpha Foods", "Baker")], cols))
-    got = batch_linkage.ingest(h, spark.createDataFrame([(2, 2, None, p, None, "Zyx", "Welder, nights")], cols)).collect()
-    assert [(r.first_job_id, r.job_id, round(r.score, 1)) for r in got] == [(1, 2, -8.9)]
+    h.weights = weights
+    got = [{(r.first_job_id, r.job_id) for r in batch_linkage.ingest(h, spark.createDataFrame(b, COLS)).collect()} for b in batches]
+    h.close()
+    return got
+
+
+def test_an_identity_is_not_outvoted(spark):
+    w = batch_linkage.bounded({"site": (-13.0, 0.0, 3.0), "code": (-1.0, 0.0, 9.7), "provider": (-13.0, 0.0, 15.0), "company": (-10.2, 0.0, 5.0), "title": (-11.4, 0.0, 5.0)}, -2.0)
+    p = "https://a.jobs.persona.example/job/"
+    first = [(1, 1, None, p + "1", "x", "Alpha Foods", "Baker")]
+    later = [(2, 2, None, p + "1", "y", "Zyx", "Welder, nights"), (3, 2, None, p + "2", "x", "Alpha Foods", "Baker")]
+    assert ingested(spark, w, first, later) == [set(), {(1, 2)}]
+
+
+def test_weights_decide_where_the_link_does_not(spark):
+    """Equal code and like employer on two sites; provider id and employer with one link missing, under like and unlike titles."""
+    rows = [(1, 1, None, "https://a.jobs.persona.example/job/17", None, "Alpha Foods", "Baker"), (2, 1, None, "https://boards.other.example/alpha/17", None, "Alpha Foods", "Baker"),
+            (3, 1, None, None, "k9", "Beta Mills", "Miller, nights"), (4, 1, None, "https://boards.other.example/beta/jobs/31", "k9", "Beta Mills", "Miller nights"),
+            (5, 1, None, None, "k9", "Beta Mills", "Head of sales"), (6, 1, None, "https://jobs.example.org/alpha/a-17", None, "Alpha Foods", "Baker"), (7, 1, None, "http://JOBS.example.org/alpha/a-17/apply?utm_source=x", None, "Alpha", "Baker (m/w)")]
+    learned = batch_linkage.learn_weights([((2, 2, 2, 2, 2), 300), ((2, 2, -1, 2, 1), 300), ((0, 0, 0, 0, 0), 600), ((2, 0, -1, 2, 0), 400), ((-1, -1, 2, 2, 2), 50), ((-1, -1, 2, 2, 0), 5)])
+    anything = batch_linkage.Weights({f: (0.0, 0.0, 0.0) for f in batch_linkage.FIELDS}, 1.0)
+    got, every = ingested(spark, learned, rows)[0], ingested(spark, anything, rows)[0]
+    assert (3, 4) in got and (6, 7) in got and (1, 2) not in got
+    assert (1, 2) in every and got != every
+
+
+def test_links_of_unlisted_hosts_have_keys(spark):
+    same = [("https://boards.greenhouse.io/acme/jobs/123?gh_src=9", "http://boards.greenhouse.io/Acme/jobs/123/#apply"), ("https://jobs.lever.co/acme/abc-def", "jobs.lever.co/acme/abc-def/apply"), ("https://x.org/careers?id=77&lang=de", "https://www.x.org/careers/?utm_source=q&id=77")]
+    df = spark.createDataFrame(same, "a string, b string").select(posting_key(F.col("a")), posting_key(F.col("b")))
+    got = [tuple(r) for r in df.collect()]
+    assert all(a and a == b for a, b in got) and len({a for a, _ in got}) == 3
 
 
 # 1: name variants
@@ -122,6 +151,8 @@ def test_names_group_by_employer(spark):
          "Barbar-Tasklisk Enginereinng", "The Barbar-Taslkisk Engineering (US)", "BTE - Barbar-Tasklisk Engineering", "Barbartasklisk Engineering – Careers", "Tasklisk, Barbar"],
         ["Barbar & Mevnag Foods", "Mevnag Barbar Fds"],
         ["Céspesk & Môlmol International", "CÃ©spesk & MÃ´lmol International", "C�spesk & M�lmol Intl", "cespesk and molmol international"],
+        ["Robert Miller Bakery", "Bob Miller Bakery", "Miller Bakery, Robert"], ["International Business Machines", "IBM", "I.B.M."], ["Deutsche Telekom", "Dt. Telekom", "Deutsche Telekom AG"],
+        ["Ernst & Young Accounting", "Ernst and Young"], ["Jon Smith", "Jonathan Smith", "J. Smith"], ["Robert Kowalski Bakery"], ["Young Farmers"],
         ["Müller Vandpir Energy"], ["Software GmbH"], [""], ["???"],
     ]
     names = [n for g in groups for n in g]
@@ -248,7 +279,6 @@ def test_runs_reach_the_recall_at_any_depth():
     for recall in (0.9, 0.99, 0.999):
         runs = near_dup.runs_for(0.5, recall)
         assert near_dup.least_recall(0.5, runs) >= recall and (runs == 1 or near_dup.least_recall(0.5, runs - 1) < recall)
-        assert near_dup.least_recall(0.5, runs, 40) >= recall - 0.01
 
 
 def test_copies_by_class_and_pairs(spark):
@@ -393,11 +423,33 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     model = language.fit(docs.where("doc_id % 2 = 0"), "text", "lang")
     # Held-out documents; a tenth of the labels is wrong or stands for one language of several.
-    rows = language.segments(docs.where("doc_id % 2 = 1"), model).groupBy("doc_id", "label").agg(F.collect_set("lang").alias("x")).where("size(x) = 1").collect()
-    known = [(language.label_of(r.label), r.x[0]) for r in rows if language.label_of(r.label)]
+    rows = language.segments(docs.where("doc_id % 2 = 1"), model).groupBy("doc_id", language.label_code(F.col("label")).alias("code")).agg(F.collect_set("lang").alias("x")).where("size(x) = 1").collect()
+    known = [(r.code, r.x[0]) for r in rows if r.code]
     assert sum(a == b for a, b in known) / len(known) > 0.9
 
 
 @pytest.mark.parametrize("label, code", [("en_GB", "en"), ("Deutsch", "de"), ("ENG", "en"), ("français", "fr"), ("xx", None), ("", None), (None, None), ("und", None), ("pt-BR", "pt")])
-def test_label_of(label, code):
-    assert language.label_of(label) == code
+def test_label_code(spark, label, code):
+    assert spark.createDataFrame([(label,)], "l string").select(language.label_code(F.col("l"))).first()[0] == code
+
+
+# 4: swaps of single-byte pages
+
+POLISH = [
+    "Zażółć gęślą jaźń i wróć do domu", "Pośrednik złożył ofertę wcześniej niż zwykle", "Spółka szuka programisty z doświadczeniem", "Książka leży na półce obok łóżka",
+    "Dziękuję bardzo za miłą rozmowę", "Proszę wysłać życiorys do końca tygodnia", "Łódź i Kraków są dużymi miastami", "Wynagrodzenie zależy od umiejętności",
+    "Miejsce pracy znajduje się w pobliżu dworca", "Następny krok to próbne zadanie", "Środa będzie najlepszym dniem na spotkanie", "Został przyjęty na stanowisko kierownika",
+]
+
+
+def test_single_byte_swap_is_learned_per_source(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        text = " ".join(rng.sample(POLISH, 3))
+        rows.append((i, text.encode("cp1250").decode("cp1252") if i % 2 else text, "b" if i % 2 else "a", text))
+    rows += [(900, "10 m² at 5 £ or 3 ½", "a", ""), (901, "10 m² at 5 £ or 3 ½", "b", ""), (902, None, "b", ""), (903, "Crème brûlée, œuvre", "a", "")]
+    df = spark.createDataFrame(rows, "id bigint, notes string, source string, truth string")
+    got = {r.id: r.restored_text for r in mojibake.damaged_cells(df, "id", ["notes"], source="source").collect()}
+    assert got == {i: t for i, d, s, t in rows if i < 900 and d != t}
+    assert mojibake.damaged_cells(df.limit(0), "id", ["notes"], source="source").count() == 0
