@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -39,11 +40,10 @@ BOARDS = (
 EDGE = r"^[\s<(\[\"']+|[\s>)\]\"'.,;]+$"
 
 
-def unwrapped(url: Column) -> Column:
-    """Without enclosing marks and closing punctuation; a link carried inside a redirector's query is taken out."""
-    bare = F.regexp_replace(url, EDGE, "")
+def unwrapped(bare: Column) -> Column:
+    """Of a link without enclosing marks, the one carried inside a redirector's query, if there is one."""
     inner = F.regexp_extract(bare, r"[?&][A-Za-z_]+=(https?%3[aA]%2[fF][^&\s]+)", 1)
-    return F.when(inner != "", F.regexp_replace(F.coalesce(F.try_url_decode(inner), inner), EDGE, "")).otherwise(bare)
+    return once(inner, lambda i: F.when(i != "", F.regexp_replace(F.coalesce(F.try_url_decode(i), i), EDGE, "")).otherwise(bare))
 
 
 def param(query: Column, name: str) -> Column:
@@ -67,13 +67,17 @@ def general_parts(host: Column, path: Column, query: Column) -> Column:
         lambda s: (s != "") & ~s.isin(COMMON_SEGMENTS) & ~s.rlike("^[a-z]{2}[-_][a-z]{2}$"),
     )
     numbers = F.array_sort(F.filter(F.split(F.lower(query), "&"), lambda q: q.rlike("=.*[0-9]") & ~q.rlike(IDLE_PARAMS)))
-    last = F.coalesce(F.get(segments, F.size(segments) - 1), F.lit(""))
-    after_title = F.regexp_extract(last, "^[a-z].*[-_]([a-z]{0,3}[0-9]{3,}[a-z0-9]*)$", 1)
-    code = F.concat_ws("&", F.when(last != "", F.when(after_title != "", after_title).otherwise(last)), numbers)
-    names = (F.size(numbers) > 0) | (F.size(segments) > 1) | last.rlike("[0-9]")
-    before = F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))
-    site = F.concat_ws("|", F.regexp_replace(host, r"^www\.", ""), F.array_join(before, "/"))
-    return F.when((host != "") & host.contains(".") & names & (code != ""), F.struct(site.alias("site"), code.alias("code")))
+
+    def named(x: Column) -> Column:
+        last = F.coalesce(F.get(x["s"], F.size(x["s"]) - 1), F.lit(""))
+        after_title = F.regexp_extract(last, "^[a-z].*[-_]([a-z]{0,3}[0-9]{3,}[a-z0-9]*)$", 1)
+        code = F.concat_ws("&", F.when(last != "", F.when(after_title != "", after_title).otherwise(last)), x["n"])
+        names = (F.size(x["n"]) > 0) | (F.size(x["s"]) > 1) | last.rlike("[0-9]")
+        before = F.slice(x["s"], 1, F.greatest(F.size(x["s"]) - 1, F.lit(0)))
+        site = F.concat_ws("|", F.regexp_replace(host, r"^www\.", ""), F.array_join(before, "/"))
+        return F.when((host != "") & host.contains(".") & names & (code != ""), F.struct(site.alias("site"), code.alias("code")))
+
+    return once(F.struct(segments.alias("s"), numbers.alias("n")), named)
 
 
 def posting_parts(url: Column) -> Column:
@@ -84,35 +88,44 @@ def posting_parts(url: Column) -> Column:
     the order of parameters make no difference. Links of the boards listed are read by their
     forms, others by ``general_parts``.
     """
-    link = unwrapped(unwrapped(url))
-    rest = F.regexp_replace(link, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.lower(F.regexp_extract(rest, r"^([^/?#:]+)", 1))
-    after = F.regexp_replace(rest, r"^[^/?#]+", "")
-    raw_path = F.regexp_extract(after, r"^([^?#]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_url_decode(raw_path), raw_path), r"/{2,}", "/"), r"[/\s.,;]+$", "")
-    query = F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1)
-    listed = F.lit(False)
+    bare = once(url, lambda u: once(F.regexp_replace(u, EDGE, ""), unwrapped))
+    rest = once(bare, lambda u: F.regexp_replace(once(u, unwrapped), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
+
+    def split(u: Column) -> Column:
+        after = F.regexp_replace(u, r"^[^/?#]+", "")
+        raw_path = F.regexp_extract(after, r"^([^?#]*)", 1)
+        path = F.regexp_replace(F.regexp_replace(once(raw_path, lambda p: F.coalesce(F.try_url_decode(p), p)), r"/{2,}", "/"), r"[/\s.,;]+$", "")
+        host = F.lower(F.regexp_extract(u, r"^([^/?#:]+)", 1))
+        return F.struct(host.alias("host"), path.alias("path"), F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1).alias("query"))
+
+    return once(once(rest, split), lambda x: parts_of(x["host"], x["path"], x["query"]))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parts_of(host: Column, path: Column, query: Column) -> Column:
+    """``posting_parts`` of a link taken apart."""
+    readings = []
     for board in BOARDS:
-        listed = listed | host.rlike(board.host)
-    out = F.when(~listed, general_parts(host, path, query))
-    for board in reversed(BOARDS):
 
         def part(where: tuple[str, int], name: str, b: Board = board) -> Column:
             kind, group = where
             if kind == "query":
-                value = param(query, name)
-                value = F.coalesce(F.try_url_decode(value), value)
+                value = once(param(query, name), lambda v: F.coalesce(F.try_url_decode(v), v))
             else:
                 value = F.regexp_extract(host if kind == "host" else path, b.host if kind == "host" else b.path, group)
             return F.lower(F.regexp_replace(value, EDGE, ""))
 
-        employer, code = part(board.employer, board.query_employer), part(board.code, board.query_code)
-        fits = host.rlike(board.host) & path.rlike(board.path) & (employer != "") & (code != "")
-        out = F.when(fits, F.struct(F.concat_ws("|", F.lit(board.name.split("-")[0]), employer).alias("site"), code.alias("code"))).otherwise(out)
-    return out
+        both = F.struct(F.concat_ws("|", F.lit(board.name.split("-")[0]), part(board.employer, board.query_employer)).alias("site"), part(board.code, board.query_code).alias("code"))
+        whole = once(both, lambda x: F.when(~x["site"].endswith("|") & (x["code"] != ""), x))
+        readings.append(F.when(host.rlike(board.host) & path.rlike(board.path), whole))
+    unlisted = ~host.rlike("|".join(f"(?:{b.host})" for b in BOARDS))
+    return F.coalesce(*readings, F.when(unlisted, general_parts(host, path, query)))
 
 
 def posting_key(url: Column) -> Column:
     """``site|code`` of ``posting_parts``, or null."""
-    parts = posting_parts(url)
-    return F.when(parts.isNotNull(), F.concat_ws("|", parts["site"], parts["code"]))
+    return once(posting_parts(url), lambda p: F.when(p.isNotNull(), F.concat_ws("|", p["site"], p["code"])))
