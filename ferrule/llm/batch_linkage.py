@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.links import posting_parts
+from ferrule.functions.links import once, posting_parts
 from ferrule.plans.session import fresh_path, written
 from ferrule.plans.skew import salted_lookup
 
@@ -144,32 +144,38 @@ class LinkHistory:
 def records(jobs: DataFrame, *carried: str) -> DataFrame:
     """job_id, key, sig and ``FIELDS`` (and the columns ``carried``): one row per row and blocking key.
 
-    Keys: site and code of either link; code and first letters of the employer, which
-    meets the code under links of another form; provider id and employer. ``sig``
-    tells apart what different postings one key may stand for. Rows without any key have nothing to be compared by.
+    Keys: site and code of either link; provider id and employer, which meet rows whose link
+    is missing or names no posting. ``sig`` tells apart what different postings one key may
+    stand for. Rows without any key have nothing to be compared by.
     """
-    base = jobs.where("job_id is not null").select(
-        "job_id",
-        *carried,
-        posting_parts(F.col("raw_url")).alias("p1"),
-        posting_parts(F.col("canonical_url")).alias("p2"),
-        letters(F.col("company")).alias("company"),
-        letters(F.col("title")).alias("title"),
-        F.nullif(F.lower(F.trim("provider_job_id")), F.lit("")).alias("provider"),
-    )
-    parts = F.array_distinct(F.filter(F.array("p1", "p2"), lambda p: p.isNotNull()))
+    provider = F.nullif(F.lower(F.trim("provider_job_id")), F.lit(""))
+    typed = F.struct(provider.alias("provider"), letters(F.col("company")).alias("company"), letters(F.col("title")).alias("title"))
+    links = F.array_distinct(F.filter(F.array_distinct(F.array("raw_url", "canonical_url")), lambda u: u.isNotNull()))
+    parts = F.array_distinct(F.filter(F.transform(links, posting_parts), lambda p: p.isNotNull()))
     none = F.struct(F.lit(None).cast("string").alias("site"), F.lit(None).cast("string").alias("code"))
-    keyed = lambda key, p: F.struct(key.alias("key"), p["site"].alias("site"), p["code"].alias("code"))
-    begin = F.substring(F.coalesce("company", F.lit("")), 1, 6)
-    by_link = F.transform("parts", lambda p: keyed(F.concat_ws("|", F.lit("link"), p["site"], p["code"]), p))
-    by_code = F.when(begin != "", F.transform("parts", lambda p: keyed(F.concat_ws("|", F.lit("code"), p["code"], begin), p)))
-    provided = F.col("provider").isNotNull() & (F.coalesce("company", F.lit("")) != "")
-    by_provider = F.when(provided, F.transform(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(none)), lambda p: keyed(F.concat_ws("|", F.lit("provider"), "company", "provider"), p)))
-    empty = F.array().cast("array<struct<key:string,site:string,code:string>>")
-    every = F.concat(F.coalesce(by_link, empty), F.coalesce(by_code, empty), F.coalesce(by_provider, empty))
-    rows = base.withColumn("parts", parts).select("job_id", *carried, F.explode(every).alias("k"), "company", "title", "provider")
-    sig = F.when(F.col("k.code").isNotNull(), F.concat_ws("|", "k.site", "k.code")).otherwise(F.concat_ws("|", F.lit("-"), "company", "provider"))
-    return rows.select("job_id", *carried, "k.key", sig.alias("sig"), "k.site", "k.code", "provider", "company", "title")
+    known = F.struct(F.when(F.size(parts) > 0, parts).otherwise(F.array(none)).alias("parts"), typed.alias("typed"))
+
+    def keys(x: Column) -> Column:
+        t = x["typed"]
+        provided = t["provider"].isNotNull() & (F.coalesce(t["company"], F.lit("")) != "")
+        every = F.transform(
+            x["parts"],
+            lambda p: F.struct(
+                p["site"].alias("site"),
+                p["code"].alias("code"),
+                F.array(
+                    F.when(p["code"].isNotNull(), F.concat_ws("|", F.lit("link"), p["site"], p["code"])),
+                    F.when(provided, F.concat_ws("|", F.lit("provider"), t["company"], t["provider"])),
+                ).alias("keys"),
+            ),
+        )
+        return F.struct(every.alias("every"), t.alias("typed"))
+
+    rows = jobs.where("job_id is not null").select("job_id", *carried, once(known, keys).alias("x"))
+    rows = rows.select("job_id", *carried, "x.typed", F.explode("x.every").alias("p"))
+    rows = rows.select("job_id", *carried, "typed", "p.site", "p.code", F.explode(F.array_compact("p.keys")).alias("key"))
+    sig = F.when(F.col("code").isNotNull(), F.concat_ws("|", "site", "code")).otherwise(F.concat_ws("|", F.lit("-"), "typed.company", "typed.provider"))
+    return rows.select("job_id", *carried, "key", sig.alias("sig"), "site", "code", "typed.provider", "typed.company", "typed.title")
 
 
 def levels_of(a: str, b: str) -> dict[str, Column]:
@@ -194,7 +200,7 @@ def candidates(rows: DataFrame, holders: DataFrame) -> DataFrame:
     """job_id, rep and the fields of both (structs a, b): every row with the earlier holders of its keys; a hot key's rows are spread by salt."""
     a = rows.select("job_id", "key", F.struct(*FIELDS).alias("a"))
     b = holders.select("key", "rep", F.struct(*FIELDS).alias("b"))
-    return salted_lookup(a, b, "key", "job_id", how="inner").where("rep < job_id").select("job_id", "rep", "a", "b")
+    return salted_lookup(a, b, "key", "job_id", salts=4, how="inner").where("rep < job_id").select("job_id", "rep", "a", "b")
 
 
 def pattern_counts(rows: DataFrame, holders: DataFrame) -> list[tuple[tuple[int, ...], int]]:
@@ -240,18 +246,17 @@ def ingest_records(history: LinkHistory, rows: DataFrame) -> DataFrame:
     if history.weights is None:
         history.weights = learn_weights(pattern_counts(rows, holders))
     scored = candidates(rows, holders).select("job_id", "rep", history.weights.score(levels_of("a", "b")).alias("score")).where("score > 0")
-    scored = written(scored.groupBy("job_id", "rep").agg(F.max("score").alias("score")), "scored")
-    low = scored.groupBy("job_id").agg(F.min("rep").alias("low"), F.max("score").alias("score"))
+    # A row has few keys, and a key stands for few postings: reps is short.
+    low = written(scored.groupBy("job_id").agg(F.min("rep").alias("low"), F.collect_set("rep").alias("reps"), F.max("score").alias("score")), "links")
+    links = low.select("job_id", F.col("low").alias("rep"), "score")
     # Representatives that are found to be one with a smaller one: two of one row, and rows of this batch that are linked themselves.
-    several = scored.join(low.select("job_id", "low"), "job_id").where("rep <> low").select(F.col("rep").alias("was"), F.col("low").alias("now"))
-    chained = low.join(scored.select(F.col("rep").alias("job_id")).distinct(), "job_id", "left_semi").select(F.col("job_id").alias("was"), F.col("low").alias("now"))
-    edges = written(several.unionByName(chained).distinct(), "edges")
-    links = low.withColumnRenamed("low", "rep")
-    if not edges.isEmpty():
-        moves = joined_clusters(edges)
-        links = links.join(moves, F.col("rep") == F.col("was"), "left").withColumn("rep", F.coalesce("now", "rep")).drop("was", "now")
+    several = low.where("size(reps) > 1").select(F.explode("reps").alias("was"), F.col("low").alias("now")).where("was <> now")
+    chained = low.join(low.select(F.explode("reps").alias("job_id")), "job_id", "left_semi").select(F.col("job_id").alias("was"), F.col("low").alias("now"))
+    if not several.unionByName(chained).isEmpty():
+        moves = joined_clusters(several.unionByName(chained).distinct())
+        links = written(links.join(moves, F.col("rep") == F.col("was"), "left").withColumn("rep", F.coalesce("now", "rep")).drop("was", "now"), "links")
         history.merge(moves)
-    found = written(links.where("rep < job_id").select(F.col("rep").alias("first_job_id"), "job_id", "score"), "links")
+    found = links.where("rep < job_id").select(F.col("rep").alias("first_job_id"), "job_id", "score")
     fresh = holders.where("new").drop("new").join(found.select(F.col("job_id").alias("rep"), "first_job_id"), "rep", "left")
     history.append(fresh.withColumn("rep", F.coalesce("first_job_id", "rep")).select(*ENTRY))
     return found
@@ -263,7 +268,7 @@ def joined_clusters(edges: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its neighbours and follows labels
     once more, until none changes; only clusters that the batch touches take part.
     """
-    both = edges.select(F.col("was").alias("x"), F.col("now").alias("y"))
+    both = written(edges, "edges").select(F.col("was").alias("x"), F.col("now").alias("y"))
     both = written(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "pairs")
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("now")).select(F.col("x").alias("was"), "now")
     labels = written(labels, "labels")
@@ -278,13 +283,13 @@ def joined_clusters(edges: DataFrame) -> DataFrame:
             return labels.where("was <> now")
 
 
-def link_batches(jobs: DataFrame) -> DataFrame:
-    """All batches of ``jobs`` taken in one after another, as they came.
+def link_batches(jobs: DataFrame, runs: int | None = None) -> DataFrame:
+    """All batches of ``jobs`` taken in one after another, as they came: the old stock, then each later one, or these in ``runs - 1`` runs of several.
 
     The keys of all rows are made once and written by batch, so that each run reads its
-    own batch only. Rows without batch number come first. Where a later
-    row shows two clusters to be one, rows accepted before keep the first sighting
-    they were reported with.
+    own batches only. Rows without batch number come with the first. Where a later
+    row shows two clusters to be one, rows accepted in earlier runs keep the first sighting
+    they were reported with; otherwise ``runs`` changes nothing.
     """
     spark = jobs.sparkSession
     number = F.coalesce(F.col("batch_no").cast("int"), F.lit(-(2**31)))
@@ -293,11 +298,15 @@ def link_batches(jobs: DataFrame) -> DataFrame:
     keyed = records(slim, "batch_no")
     keyed.write.partitionBy("batch_no").parquet(path)
     every = spark.read.schema(keyed.schema).parquet(path)
-    history = LinkHistory(spark, fresh_path(spark, "history"))
-    out = None
-    for r in every.select("batch_no").distinct().orderBy("batch_no").collect():  # a row per batch
-        found = ingest_records(history, every.where(F.col("batch_no") == r["batch_no"]).drop("batch_no"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    numbers = sorted(r["batch_no"] for r in every.select("batch_no").distinct().collect())  # a row per batch
+    if not numbers:
         return spark.createDataFrame([], "first_job_id bigint, job_id bigint, score double")
+    if numbers[0] == -(2**31) and len(numbers) > 1:
+        numbers = numbers[1:]
+    last = numbers if runs is None else sorted({numbers[round((len(numbers) - 1) * i / max(1, runs - 1))] for i in range(max(1, runs))} | {numbers[-1]})
+    history = LinkHistory(spark, fresh_path(spark, "history"))
+    out, before = None, -(2**32)
+    for n in last:
+        found = ingest_records(history, every.where((F.col("batch_no") > before) & (F.col("batch_no") <= n)).drop("batch_no"))
+        out, before = found if out is None else out.unionByName(found), n
     return out
