@@ -5,10 +5,11 @@ choosing, at each node, a few of the record's sampled tokens (consistent samples
 all tokens alike); two records stay together along a branch with the chance of
 their Jaccard similarity. A record needs only itself to grow its paths, so the
 first levels are taken in one stride. Records with the same path form a bucket:
-small buckets and those of like records are compared pair by pair on bit
-sketches, others are split further along three more branches at a time. All is
+small buckets are compared pair by pair on bit sketches, others are split further
+along three more branches at a time, until they are small or their records are so
+alike that their pairs are the result; those are compared block by block. All is
 repeated in independent runs, as many as the target recall needs for a pair right
-at the similarity whose buckets are split to the last level (``least_recall``).
+at the similarity, however deep its buckets are split (``least_recall``).
 Pairs that remain are verified exactly.
 
 Records equal in their words are joined once, by their representative.
@@ -28,14 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.plans.session import spread, written
+from ferrule.plans.skew import salted_lookup
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLES = 128  # samples of a record that paths choose from
-SKETCH = 192  # bits by which records of a bucket are compared
+SKETCH = 192  # drawn tokens by two bits of which records of a bucket are compared
 BRANCHES = 3  # at every level: with less than 1 / similarity the recall would fall with each split
-FIRST = 3  # levels taken in one stride, whatever the number of records
-DEEPEST = 12
+FIRST = 2  # levels taken in one stride, whatever the number of records
 MISSES = 3.3  # standard deviations by which the sketches of a pair may fall short
+WORDS = ("s0", "s1", "s2", "s3", "s4", "s5")  # columns of a sketch
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,22 +66,43 @@ def shingles(text: str, words: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
-SALTS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * M1)
 BRANCH_SALTS = mixed(np.arange(20_001, 20_009, dtype=np.uint64) * M1)
-BIT_SALTS = mixed(np.arange(10_001, 10_001 + SKETCH, dtype=np.uint64) * M1)
+DRAWS = mixed(np.arange(1, 2 * (SAMPLES + SKETCH) + 1, dtype=np.uint64) * M1)
+DRAW_SALTS = (DRAWS[: SAMPLES + SKETCH] >> np.uint64(32)).astype(np.uint32)[:, None]
+DRAW_FACTORS = (DRAWS[SAMPLES + SKETCH :] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
-def sampled(tokens: np.ndarray) -> np.ndarray:
-    """The token drawn at each of ``SAMPLES`` positions, that of the least hash: two records draw the same with the chance of their Jaccard similarity."""
-    return tokens[mixed(tokens[:, None] ^ SALTS[None, :]).argmin(axis=0)]
+def drawn_tokens(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, sketch) of a record's tokens.
 
-
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """One bit of each of ``SKETCH`` least hashes, as three 64-bit numbers; two records agree in (1 + similarity) / 2 of them."""
-    low = (tokens[:, None] ^ BIT_SALTS[None, :]) * M1
-    low = (low ^ (low >> np.uint64(29))).min(axis=0)
-    bits = (mixed(low) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.uint64)
+    Samples: the token drawn at each of ``SAMPLES`` positions, that of the least hash; two
+    records draw the same with the chance of their Jaccard similarity. Sketch: two bits of each
+    of ``SKETCH`` further drawn tokens, the first bits in three 64-bit numbers, then the second
+    ones; both bits are equal in (1 + 3 * similarity) / 4 of them. The tokens are well-spread hashes, of which 32 bits are mixed
+    anew at each position.
+    """
+    low = (tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)
+    best = np.full(SAMPLES + SKETCH, np.uint32(0xFFFFFFFF))
+    at = np.zeros(SAMPLES + SKETCH, dtype=np.int64)
+    for lo in range(0, len(low), 4096):  # long texts in stretches that stay in the processor's cache
+        h = (low[None, lo : lo + 4096] ^ DRAW_SALTS) * DRAW_FACTORS
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        i = h.argmin(axis=1)
+        least = h[np.arange(len(h)), i]
+        better = least < best
+        best[better], at[better] = least[better], lo + i[better]
+    token = tokens[at]
+    bits = mixed(token[SAMPLES:] + DRAWS[SAMPLES : SAMPLES + SKETCH])
+    both = np.concatenate([bits & np.uint64(1), bits >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)
+    return token[:SAMPLES], np.packbits(both).view(np.uint64)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many drawn tokens the sketches of each row agree."""
+    diff = x ^ y
+    half = diff.shape[1] // 2
+    return SKETCH - np.bitwise_count(diff[:, :half] | diff[:, half:]).sum(axis=1).astype(np.int64)
 
 
 def grown(samples: np.ndarray, paths: np.ndarray, branches: int) -> np.ndarray:
@@ -96,22 +119,23 @@ def roots(n: int, runs: int) -> np.ndarray:
     return np.tile(mixed(np.arange(1, runs + 1, dtype=np.uint64) * M2), (n, 1))
 
 
-def survival(similarity: float, depth: int) -> float:
-    """Chance that two records share a path of ``depth`` levels in one run: a branching process with ``BRANCHES`` children."""
+def survival(similarity: float) -> float:
+    """Chance that two records share some path of one run, however deep: a branching process with ``BRANCHES`` children, which goes on for ever."""
     q = 1.0
-    for _ in range(depth):
+    for _ in range(10_000):
         q = 1 - (1 - similarity * q) ** BRANCHES
     return q
 
 
-def least_recall(similarity: float, runs: int, depth: int = DEEPEST) -> float:
-    """Chance that a pair right at the similarity is compared and agrees on its sketches, if its buckets are split to ``depth``.
+@lru_cache(maxsize=None)
+def least_recall(similarity: float, runs: int) -> float:
+    """Chance that a pair right at the similarity is compared and agrees on its sketches, however deep its buckets are split.
 
     The runs choose from the same ``SAMPLES`` positions, of which the pair agrees in
-    a binomial number. Pairs that are more alike, and less deep splits, do better.
+    a binomial number. Pairs that are more alike, and splits that end, do better.
     """
     share = lambda k: comb(SAMPLES, k) * similarity**k * (1 - similarity) ** (SAMPLES - k)
-    met = sum(share(k) * (1 - (1 - survival(k / SAMPLES, depth)) ** runs) for k in range(SAMPLES + 1))
+    met = sum(share(k) * (1 - (1 - survival(k / SAMPLES)) ** runs) for k in range(SAMPLES + 1))
     return met * (1 + erf(MISSES / 2**0.5)) / 2
 
 
@@ -124,8 +148,8 @@ def runs_for(similarity: float, recall: float) -> int:
 
 
 def least_agreement(similarity: float, misses: float = MISSES) -> int:
-    """Bits in which a pair of the similarity agrees but for ``misses`` standard deviations."""
-    p = (1 + similarity) / 2
+    """Drawn tokens in which a pair of the similarity agrees but for ``misses`` standard deviations."""
+    p = (1 + 3 * similarity) / 4
     return int(SKETCH * p - misses * (SKETCH * p * (1 - p)) ** 0.5)
 
 
@@ -134,92 +158,126 @@ def word_form(text: Column) -> Column:
     return F.md5(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1), " "))
 
 
-def bucket_pairs(limit: int, agree: int, alike: int, final: bool):
-    """Reads rows (path, id, s0, s1, s2) sorted by path; gives (a, b) of the pairs agreeing enough, and (path, id) of buckets over the limit.
+DENSE, LARGE = 1, 2  # kinds of rows that a bucket over the limit gives back; 0: a pair
 
-    Holds one batch and at most ``limit`` rows of the bucket in progress. Buckets
-    of any size are compared whole, and held, with ``final`` and where a quarter of
-    neighbouring rows agree in ``alike`` bits: their records are alike, and their
-    pairs are the result asked for, so splitting would only repeat the work.
-    """
 
-    def dense(s: np.ndarray) -> bool:
-        hits = [(SKETCH - np.bitwise_count(s[k:] ^ s[:-k]).sum(axis=1).astype(np.int64)) >= alike for k in (1, 2, 5, 11) if k < len(s)]
-        return bool(hits) and float(np.concatenate(hits).mean()) >= 0.25
-
-    def compare(path: np.ndarray, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, i, k = [], [], np.arange(len(path)), 0
-        while len(i):
-            k += 1
-            i = i[i + k < len(path)]
-            i = i[path[i] == path[i + k]]
-            if not len(i):
-                break
-            same = SKETCH - np.bitwise_count(s[i] ^ s[i + k]).sum(axis=1).astype(np.int64)
-            hit = i[same >= agree]
-            a.append(ids[hit])
-            b.append(ids[hit + k])
-        if not a:
-            return ids[:0], ids[:0]
-        return np.concatenate(a), np.concatenate(b)
+def bucket_pairs(limit: int, agree: int, alike: int):
+    """Reads rows (path, id, sketch) sorted by path; gives kind, path, a, b.
+
+    Kind 0: a pair (a, b) agreeing in ``agree`` drawn tokens. Buckets over the limit are not
+    compared here but given back row by row: as ``DENSE`` where a quarter of
+    neighbouring rows agree in ``alike`` of them, since their pairs are the result asked for and splitting would only repeat the work; else as
+    ``LARGE``. Holds one batch and at most ``limit`` rows of the bucket in progress.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None  # rows of the bucket in progress
-        big: int | None = None  # its path, once it is known to be too large
-        whole: int | None = None  # its path, once it is known to be compared whole
+        known: tuple[int, int] | None = None  # its path and kind, once it is known to be over the limit
         for batch in batches:
             if not len(batch):
                 continue
             part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             path = part["path"].to_numpy()
             open_from = int((path == path[-1]).argmax())
-            yield from settle(part.iloc[:open_from], big, whole)
+            yield from settle(part.iloc[:open_from], known)
             rest = part.iloc[open_from:].reset_index(drop=True)
-            if path[-1] != big:
-                big = None
-            if path[-1] != whole:
-                whole = None
-            if final or whole is not None or (big is None and len(rest) <= limit):
-                continue
-            if big is None and dense(bits_of(rest)):
-                whole = path[-1]
+            if known and path[-1] != known[0]:
+                known = None
+            if known is None and len(rest) <= limit:
                 continue
-            yield big_frame(rest)
-            big, rest = path[-1], None
+            known = known or (int(path[-1]), kind_of(rest))
+            yield returned(rest, known[1])
+            rest = None
         if rest is not None and len(rest):
-            yield from settle(rest, big, whole)
+            yield from settle(rest, known)
 
-    def bits_of(rows: pd.DataFrame) -> np.ndarray:
-        return rows[["s0", "s1", "s2"]].to_numpy().view(np.uint64)
+    def kind_of(rows: pd.DataFrame) -> int:
+        s = bits_of(rows)
+        hits = [agreement(s[k:], s[:-k]) >= alike for k in (1, 2, 5, 11) if k < len(s)]
+        return DENSE if hits and float(np.concatenate(hits).mean()) >= 0.25 else LARGE
 
-    def settle(closed: pd.DataFrame, big: int | None, whole: int | None) -> Iterator[pd.DataFrame]:
+    def settle(closed: pd.DataFrame, known: tuple[int, int] | None) -> Iterator[pd.DataFrame]:
         if not len(closed):
             return
         path = closed["path"].to_numpy()
         edges = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         size = np.diff(np.r_[edges, len(path)])
-        over = (size > limit) | ((path[edges] == big) if big is not None else False)
-        if final:
-            over[:] = False
-        for i in np.flatnonzero(over):
-            if path[edges[i]] != big and (path[edges[i]] == whole or dense(bits_of(closed.iloc[edges[i] : edges[i] + size[i]]))):
-                over[i] = False
-        large = np.repeat(over, size)
-        keep = closed[~large]
+        kind = np.zeros(len(edges), dtype=np.int64)
+        for i in np.flatnonzero(size > limit):
+            kind[i] = kind_of(closed.iloc[edges[i] : edges[i] + size[i]])
+        if known:
+            kind[path[edges] == known[0]] = known[1]
+        each = np.repeat(kind, size)
+        keep = closed[each == 0]
         if len(keep):
-            yield pairs_frame(*compare(keep["path"].to_numpy(), keep["id"].to_numpy(), bits_of(keep)))
-        if large.any():
-            yield big_frame(closed[large])
+            yield pairs_frame(*compared(keep["path"].to_numpy(), keep["id"].to_numpy(), bits_of(keep), agree))
+        for k in (DENSE, LARGE):
+            if (each == k).any():
+                yield returned(closed[each == k], k)
 
     def pairs_frame(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"path": np.zeros(len(a), dtype=np.int64), "a": np.minimum(a, b), "b": np.maximum(a, b), "big": False})
+        return pd.DataFrame({"kind": np.zeros(len(a), dtype=np.int32), "path": np.zeros(len(a), dtype=np.int64), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    def big_frame(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": rows["path"].to_numpy(), "a": rows["id"].to_numpy(), "b": rows["id"].to_numpy(), "big": True})
+    def returned(rows: pd.DataFrame, kind: int) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.full(len(rows), kind, dtype=np.int32), "path": rows["path"].to_numpy(), "a": rows["id"].to_numpy(), "b": rows["id"].to_numpy()})
 
     return run
 
 
+def bits_of(rows: pd.DataFrame) -> np.ndarray:
+    return rows[list(WORDS)].to_numpy().view(np.uint64)
+
+
+def compared(path: np.ndarray, ids: np.ndarray, s: np.ndarray, agree: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one path that agree in ``agree`` drawn tokens; with ``side``, only those of different sides or of side 2."""
+    a, b, i, k = [], [], np.arange(len(path)), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(path)]
+        i = i[path[i] == path[i + k]]
+        if not len(i):
+            break
+        j = i if side is None else i[(side[i] == 2) | (side[i] != side[i + k])]
+        hit = j[agreement(s[j], s[j + k]) >= agree]
+        a.append(ids[hit])
+        b.append(ids[hit + k])
+    if not a:
+        return ids[:0], ids[:0]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def block_pairs(dense: DataFrame, drawn: DataFrame, limit: int, agree: int, parts: int) -> DataFrame:
+    """a, b: the pairs agreeing in ``agree`` drawn tokens within dense buckets (path, id) of any size.
+
+    A bucket is cut into blocks of about ``limit`` rows, and every two blocks meet in a
+    group of their own, so that no task holds a bucket; rows are repeated less often than
+    they occur in pairs.
+    """
+    blocks = dense.groupBy("path").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", "path"), F.col("blocks")).cast("int")
+    each = dense.join(blocks, "path").withColumn("own", own).select("path", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    group = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = each.select(group.alias("path"), "id", side.alias("side")).join(drawn.select("id", *WORDS), "id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            path = part["path"].to_numpy()
+            open_from = int((path == path[-1]).argmax()) if len(path) else 0
+            yield pairs(part.iloc[:open_from])
+            rest = part.iloc[open_from:].reset_index(drop=True)
+        if rest is not None:
+            yield pairs(rest)
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = compared(rows["path"].to_numpy(), rows["id"].to_numpy(), bits_of(rows), agree, rows["side"].to_numpy())
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.repartition(parts, "path").sortWithinPartitions("path", "id").mapInPandas(compare, "a bigint, b bigint")
+
+
 def similar_pairs(
     records: DataFrame, key: str = "id", text: str = "text", similarity: float = 0.5, words: int = 3, recall: float = 0.995, limit: int = 400
 ) -> tuple[DataFrame, DataFrame]:
@@ -236,9 +294,10 @@ def similar_pairs(
     slim = spread(records.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null"))
     formed = written(slim.withColumn("form", word_form(F.col("text"))), "formed")
     rep = formed.groupBy("form").agg(F.min("id").alias("class_id"))
-    classes = written(formed.select("id", "form").join(rep, "form").select("id", "class_id"), "classes")
-    base = written(formed.join(classes.where("id = class_id").select("id"), "id", "left_semi").select("id", "text"), "texts")
+    classes = written(salted_lookup(formed.select("id", "form"), rep, "form", "id", how="inner").select("id", "class_id"), "classes")
+    base = formed.join(classes.where("id = class_id").select("id"), "id", "left_semi").select("id", "text")
     runs = runs_for(similarity, recall)
+    sketched = ", ".join(f"{w} bigint" for w in WORDS)
 
     def sampled_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -248,12 +307,12 @@ def similar_pairs(
                 for i, t in zip(part["id"], part["text"]):
                     s = shingles(t, words)
                     if len(s):
-                        rows.append((i, sampled(s).view(np.int64), *sketch(s).view(np.int64)))
-                yield pd.DataFrame(rows, columns=["id", "samples", "s0", "s1", "s2"])
+                        samples, bits = drawn_tokens(s)
+                        rows.append((i, s.tobytes(), samples.view(np.int64), *bits.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["id", "tokens", "samples", *WORDS])
 
-    drawn = written(spread(base).mapInPandas(sampled_records, "id bigint, samples array<bigint>, s0 bigint, s1 bigint, s2 bigint"), "samples")
-    depth = FIRST
-    row = "path bigint, id bigint, s0 bigint, s1 bigint, s2 bigint"
+    drawn = written(spread(base).mapInPandas(sampled_records, f"id bigint, tokens binary, samples array<bigint>, {sketched}"), "samples")
+    row = f"path bigint, id bigint, {sketched}"
 
     def first_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -261,7 +320,7 @@ def similar_pairs(
                 part = b.iloc[lo : lo + 2000]
                 samples = np.stack(part["samples"].to_numpy()).astype(np.int64).view(np.uint64)
                 paths = roots(len(part), runs)
-                for _ in range(depth):
+                for _ in range(FIRST):
                     paths = grown(samples, paths, BRANCHES)
                 yield rows_of(part, paths)
 
@@ -274,44 +333,44 @@ def similar_pairs(
 
     def rows_of(part: pd.DataFrame, paths: np.ndarray) -> pd.DataFrame:
         times = paths.shape[1]
-        return pd.DataFrame({"path": paths.reshape(-1).view(np.int64), **{c: np.repeat(part[c].to_numpy(), times) for c in ("id", "s0", "s1", "s2")}})
+        return pd.DataFrame({"path": paths.reshape(-1).view(np.int64), **{c: np.repeat(part[c].to_numpy(), times) for c in ("id", *WORDS)}})
 
     agree, alike = least_agreement(similarity), least_agreement(similarity, 0)
     found: list[DataFrame] = []
-    nodes = drawn.mapInPandas(first_paths, row)
+    nodes = drawn.drop("tokens").mapInPandas(first_paths, row)
+    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while True:
-        parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         sorted_nodes = nodes.repartition(parts, "path").sortWithinPartitions("path", "id")
-        out = written(sorted_nodes.mapInPandas(bucket_pairs(limit, agree, alike, depth >= DEEPEST), "path bigint, a bigint, b bigint, big boolean"), "buckets")
-        found.append(out.where("not big").select("a", "b"))
-        large = out.where("big").select("path", F.col("a").alias("id"))
-        if depth >= DEEPEST or large.isEmpty():
+        out = written(sorted_nodes.mapInPandas(bucket_pairs(limit, agree, alike), "kind int, path bigint, a bigint, b bigint"), "buckets")
+        found.append(out.where("kind = 0").select("a", "b"))
+        over = {r["kind"] for r in out.where("kind > 0").select("kind").distinct().collect()}
+        if DENSE in over:
+            found.append(written(block_pairs(out.where(f"kind = {DENSE}").select("path", F.col("a").alias("id")), drawn, limit, agree, parts), "dense"))
+        if LARGE not in over:
             break
-        depth += 1
-        nodes = large.join(drawn, "id").mapInPandas(next_paths, row)
+        nodes = out.where(f"kind = {LARGE}").select("path", F.col("a").alias("id")).join(drawn.drop("tokens"), "id").mapInPandas(next_paths, row)
     candidates = found[0]
     for more in found[1:]:
         candidates = candidates.unionByName(more)
     candidates = candidates.distinct()
-    texts = base.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    others = base.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    left = drawn.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = drawn.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made: dict[int, frozenset[int]] = {}
+        for batch in batches:
             rows = []
-            for x, y, s, t in zip(b["a"], b["b"], b["text_a"], b["text_b"]):
-                if x not in made:
-                    made[x] = frozenset(shingles(s, words).tolist())
-                if y not in made:
-                    made[y] = frozenset(shingles(t, words).tolist())
-                both = len(made[x] & made[y])
-                j = both / max(1, len(made[x]) + len(made[y]) - both)
+            for x, y, s, t in zip(batch["a"], batch["b"], batch["tokens_a"], batch["tokens_b"]):
+                p, q = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                    continue
+                merged = np.sort(np.concatenate([p, q]))
+                both = int((merged[1:] == merged[:-1]).sum())
+                j = both / max(1, len(p) + len(q) - both)
                 if j >= similarity:
                     rows.append((x, y, j))
             yield pd.DataFrame(rows, columns=["a", "b", "jaccard"])
 
-    checked = candidates.join(texts, "a").join(others, "b").select("a", "b", "text_a", "text_b")
+    checked = candidates.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
     return written(checked.mapInPandas(verify, "a bigint, b bigint, jaccard double"), "links"), classes
 
 
