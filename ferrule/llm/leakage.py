@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,46 +52,61 @@ def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, [m.start() for m in found], [m.end() for m in found]
 
 
+def normalised(text: str) -> str:
+    """The words of the text in lower case, one blank between."""
+    plain = blanked(text) if "<" in text or "&" in text else text
+    if "\x00" in plain:
+        return " ".join(words_of(text)[0])
+    return " ".join(WORD.findall(plain)).lower()
+
+
 def least_hits(least: int, one_in: int) -> int:
     """The fewest runs of ``SEED`` equal words that an acceptable passage can have: its n - e equal words lie in at most e + 1 runs."""
     return max(1, min((n - n // one_in) - (SEED - 1) * (n // one_in + 1) for n in range(least, 2 * least)))
 
 
-def align(case: list[int], doc: list[int], first: int, last: int, least: int, one_in: int) -> tuple[int, int, int, int] | None:
-    """Whether some window of at least ``least`` case words starting in [first, last] occurs in ``doc`` with at most one error in ``one_in``.
+def align(case: np.ndarray, doc: np.ndarray, starts: np.ndarray, least: int, one_in: int) -> tuple[int, int, int, int] | None:
+    """Whether some window of at least ``least`` case words beginning at one of ``starts`` occurs in ``doc`` with at most one error in ``one_in``.
 
     Gives (case start, words, errors, end in doc) of the one with the smallest
     share of errors, or None. Windows under twice ``least`` suffice: a longer one
     can be halved, and one half has no larger share. All starts are advanced
     together, one case word at a time.
     """
-    c, d = np.asarray(case), np.asarray(doc)
-    starts = np.arange(first, last + 1)
-    m = len(d)
-    big = 10_000
-    cost = np.zeros((len(starts), m + 1), dtype=np.int32)
+    m = len(doc)
+    small = np.int16 if m < 16_000 else np.int32
+    cost = np.zeros((len(starts), m + 1), dtype=small)
     best = None
-    columns = np.arange(m + 1)
+    columns = np.arange(m + 1, dtype=small)
     for k in range(1, 2 * least):
         at = starts + k - 1
-        alive = at < len(c)
-        if not alive.any():
-            break
-        if not alive.all():
+        if at[-1] >= len(case):
+            alive = at < len(case)
             starts, cost, at = starts[alive], cost[alive], at[alive]
-        wrong = (c[at][:, None] != d[None, :]).astype(np.int32)
-        new = cost + 1  # missing
-        new[:, 1:] = np.minimum(new[:, 1:], cost[:, :-1] + wrong)
+            if not len(at):
+                break
+        new = cost + small(1)  # missing
+        np.minimum(new[:, 1:], cost[:, :-1] + (case[at][:, None] != doc[None, :]), out=new[:, 1:])
         if m > 1:
-            new[:, 2:] = np.minimum(new[:, 2:], cost[:, :-2] + 1)  # split in two
-        new = np.minimum.accumulate(new - columns, axis=1) + columns  # added words
+            np.minimum(new[:, 2:], cost[:, :-2] + small(1), out=new[:, 2:])  # split in two
+        new -= columns
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += columns  # added words
+        cost = new
         if k >= least:
             low = new.min(axis=1)
             i = int(low.argmin())
             e = int(low[i])
             if e * one_in <= k and (best is None or e * best[1] < best[2] * k):
                 best = (int(starts[i]), k, e, int(new[i].argmin()))
-        cost = np.minimum(new, big)
+                if not e:
+                    break
+        if k >= least // 2:  # a start with more errors than its longest window may have stays so
+            alive = cost.min(axis=1) * one_in < 2 * least
+            if not alive.all():
+                starts, cost = starts[alive], cost[alive]
+                if not len(starts):
+                    break
     return best
 
 
@@ -103,7 +118,7 @@ class Scanner:
 
         self.least, self.one_in, self.need = least, one_in, least_hits(least, one_in)
         self.ids: dict[str, int] = {}
-        self.cases = [(no, [self.ids.setdefault(w, len(self.ids)) for w in words]) for no, words in cases]
+        self.cases = [(no, np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int64)) for no, words in cases]
         seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(cases):
             for i in range(len(words) - SEED + 1):
@@ -119,45 +134,63 @@ class Scanner:
         """(case, start, end, words, errors): one row per case of which the text holds a passage."""
         if self.empty or not text:
             return []
-        words, begins, ends = words_of(text)
-        if len(words) < SEED:
-            return []
-        norm = " " + " ".join(words) + " "
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        at = last = 0
-        starts: list[int] | None = None
-        for end, places in self.automaton.iter(norm):
-            if starts is None:
-                edge = np.cumsum([1] + [len(w) + 1 for w in words])  # where each word starts in norm
-                starts = edge
-            at = int(np.searchsorted(starts, end + 1)) - SEED
-            for k, i in places:
-                hits[k].append((at - i, i))
+        norm = " " + normalised(text) + " "
+        hits = list(self.automaton.iter(norm))
         if not hits:
             return []
-        doc = None
+        often = Counter(k for _, places in hits for k, _ in places)
+        if max(often.values()) < self.need:
+            return []
+        words = norm[1:-1].split(" ")
+        edge = np.cumsum([1] + [len(w) + 1 for w in words])  # where each word starts in norm
+        at = np.searchsorted(edge, np.array([e for e, _ in hits]) + 1) - SEED
+        by_case: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a, (_, places) in zip(at.tolist(), hits):
+            for k, i in places:
+                if often[k] >= self.need:
+                    by_case[k].append((a - i, i))
+        doc = np.array([self.ids.get(w, -1) for w in words])
+        places = None
         out = []
         slack = 2 * (2 * self.least // self.one_in)
-        for k, found in hits.items():
-            if len(found) < self.need:
-                continue
+        for k, found in by_case.items():
             no, case = self.cases[k]
             best = None
             for group in self.clusters(sorted(found), slack):
-                if doc is None:
-                    doc = [self.ids.get(w, -1) for w in words]
                 first = max(0, min(i for _, i in group) - 2 * self.least)
                 final = max(i for _, i in group)
-                low = max(0, min(d for d, _ in group) + first - slack)
-                high = min(len(doc), max(d for d, _ in group) + final + 2 * self.least + slack)
-                got = align(case, doc[low:high], first, final, self.least, self.one_in)
+                starts = self.possible(case, doc, first, final, group[0][0] - slack, group[-1][0] + slack)
+                if not len(starts):
+                    continue
+                low = max(0, group[0][0] + int(starts[0]) - slack)
+                high = min(len(doc), group[-1][0] + int(starts[-1]) + 2 * self.least + slack)
+                got = align(case, doc[low:high], starts, self.least, self.one_in)
                 if got and (best is None or got[2] * best[1] < best[2] * got[1]):
                     end = low + got[3]
                     best = (low + max(0, got[3] - got[1]), got[1], got[2], end)
             if best:
+                if places is None:
+                    places = words_of(text)[1:]
+                begins, ends = places
                 out.append((no, begins[min(best[0], len(begins) - 1)], ends[max(0, best[3] - 1)], best[1], best[2]))
         return out
 
+    def possible(self, case: np.ndarray, doc: np.ndarray, first: int, final: int, low: int, high: int) -> np.ndarray:
+        """Starts in [first, final] of which some window has enough words that stand in the document on a diagonal in [low, high].
+
+        Every acceptable passage has such a window, as its words without error are equal on
+        diagonals that differ by its errors at most; so the alignment need only look at these starts.
+        """
+        last = min(len(case), final + 2 * self.least)
+        at = np.arange(first, last)[:, None] + np.arange(low, high + 1)[None, :]
+        inside = (at >= 0) & (at < len(doc))
+        equal = ((doc[np.clip(at, 0, len(doc) - 1)] == case[first:last, None]) & inside).any(axis=1)
+        total = np.concatenate([[0], np.cumsum(equal)])
+        good = np.zeros(last - first, dtype=bool)
+        for k in range(self.least, min(2 * self.least, last - first + 1)):
+            good[: last - first - k + 1] |= total[k:] - total[:-k] >= k - k // self.one_in
+        return first + np.flatnonzero(good[: final - first + 1])
+
     def clusters(self, found: list[tuple[int, int]], slack: int) -> list[list[tuple[int, int]]]:
         """Groups of hits on nearly one diagonal, with enough of them within the reach of one window."""
         groups, group = [], [found[0]]
