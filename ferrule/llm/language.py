@@ -20,7 +20,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.plans.session import spread
@@ -55,6 +56,7 @@ SETS = {x: frozenset(words.split()) for x, words in FREQUENT.items()}
 PAIRS = [(a, b) for family in FAMILIES.values() for a, b in combinations(family, 2)]
 COLUMNS = len(FAMILIES) + len(PAIRS)
 FOLD = str.maketrans({"ß": "ss", "ł": "l", "Ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i"})
+LETTERS = re.compile(r"[a-z]+")
 BITS = 17
 ORDERS = (2, 3, 4, 5)
 MARK = re.compile(r"<[/!a-zA-Z][^<>]{0,1000}>|&(?:#\d{1,7}|[a-zA-Z]{2,10});")
@@ -82,44 +84,65 @@ def sentences_of(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def folded(text: str) -> bytes:
-    """Lower case without accents, digits and marks as blanks, one blank at most, one at either end."""
-    low = text.lower().translate(FOLD)
+def folded(text: str) -> tuple[str, ...]:
+    """The words in lower case letters without accents; digits and marks separate them."""
+    low = text.lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKD", low).encode("ascii", "ignore").decode()
-    return (" " + " ".join(re.findall(r"[a-z]+", low)) + " ").encode()
-
-
-def scores(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows over the hashed n-grams of each folded text, divided by their number."""
-    out = np.zeros((len(texts), table.shape[1]), dtype=np.float32)
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 150_000):
-            size += len(texts[hi])
-            hi += 1
-        buffer = np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8).astype(np.uint32)
-        lengths = np.array([len(t) for t in texts[lo:hi]])
-        edges = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        total = np.zeros((len(buffer), table.shape[1]), dtype=np.float32)
-        for order, index in hashed(buffer):
-            total[: len(index)] += table[index]
-        summed = np.add.reduceat(total, edges, axis=0)
-        out[lo:hi] = summed / (np.maximum(lengths, 1)[:, None] * len(ORDERS))
-        lo = hi
-    return out
+        low = unicodedata.normalize("NFKD", low.translate(FOLD)).encode("ascii", "ignore").decode()
+    return tuple(LETTERS.findall(low))
 
 
-def hashed(buffer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Table rows of the n-grams starting at each character, by order."""
+def grams(word: str) -> np.ndarray:
+    """Table rows of the n-grams of a word with a blank at either end, and of the word itself."""
+    buffer = np.frombuffer(f" {word} ".encode(), dtype=np.uint8).astype(np.uint32)
     rolling = np.zeros(len(buffer), dtype=np.uint32)
-    for order in range(1, max(ORDERS) + 1):
-        if order > len(buffer):
-            return
+    out = [np.array([xxhash.xxh32_intdigest(word) >> (32 - BITS)], dtype=np.int64)]
+    for order in range(1, min(max(ORDERS), len(buffer)) + 1):
         rolling = rolling[: len(buffer) - order + 1] * np.uint32(16777619) + (buffer[order - 1 :] + np.uint32(order * 131)) * np.uint32(2654435761)
         if order in ORDERS:
-            yield order, (rolling >> np.uint32(32 - BITS)).astype(np.int64)
+            out.append((rolling >> np.uint32(32 - BITS)).astype(np.int64))
+    return np.concatenate(out)
+
+
+class Scorer:
+    """Scores texts word by word: a word's sum over the table is worked out once and kept, as a few words make up most of any text."""
+
+    KEPT = 200_000  # words; then the memory starts anew, which changes no score
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.table.shape[1] + 1), dtype=np.float32)
+
+    def place(self, word: str) -> int:
+        """Where the word's row is, made now."""
+        k = self.at[word] = len(self.at)
+        if k >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        index = grams(word)
+        self.rows[k, :-1] = self.table[index].sum(axis=0)
+        self.rows[k, -1] = len(index)
+        return k
+
+    def scores(self, texts: list[tuple[str, ...]]) -> np.ndarray:
+        """Sum over the n-grams of each text's words, divided by their number; zero for a text without words."""
+        out = np.zeros((len(texts), self.table.shape[1]), dtype=np.float32)
+        for lo in range(0, len(texts), 2000):
+            part = texts[lo : lo + 2000]
+            if len(self.at) > self.KEPT:
+                self.forget()
+            held = [(i, t) for i, t in enumerate(part) if t]
+            if not held:
+                continue
+            at = self.at
+            index = np.array([at[w] if w in at else self.place(w) for _, t in held for w in t])
+            edges = np.concatenate([[0], np.cumsum([len(t) for _, t in held])[:-1]])
+            summed = np.add.reduceat(self.rows[index], edges, axis=0)
+            out[[lo + i for i, _ in held]] = summed[:, :-1] / summed[:, -1:]
+        return out
 
 
 def targets(language: str) -> np.ndarray:
@@ -131,25 +154,26 @@ def targets(language: str) -> np.ndarray:
     return y
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> np.ndarray:
-    """Table of weights from (sentence, language) pairs, by averaged subgradient steps on the hinge loss."""
+def train(sample: list[tuple[tuple[str, ...], str, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> np.ndarray:
+    """Table of weights from (words, language, times), by averaged subgradient steps on the hinge loss; a sentence seen several times steps as much further."""
     rng = np.random.default_rng(seed)
     table = np.zeros((1 << BITS, COLUMNS), dtype=np.float32)
     mean = np.zeros_like(table)
+    known: dict[str, np.ndarray] = {}
     rows = []
-    for text, language in sample:
-        f = folded(text)
-        if len(f) > 3:
-            index = np.concatenate([i for _, i in hashed(np.frombuffer(f, dtype=np.uint8).astype(np.uint32))])
-            rows.append((index, targets(language), len(f) * len(ORDERS)))
+    for words, language, times in sample:
+        if words:
+            index = np.concatenate([known[w] if w in known else known.setdefault(w, grams(w)) for w in words])
+            index, count = np.unique(index, return_counts=True)
+            rows.append((index, count.astype(np.float32), targets(language), times))
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for i in rng.permutation(len(rows)):
-            index, y, n = rows[i]
-            margin = y * table[index].sum(axis=0) / n
-            push = np.where(margin < 1, y, 0) * step
+            index, count, y, times = rows[i]
+            held = table[index]
+            push = np.where(y * (count @ held) < count.sum(), y, 0)
             if push.any():
-                np.add.at(table, index, push)
+                table[index] = held + np.outer(count * (step * times), push)
         if epoch >= epochs // 2:
             mean += table
     return mean / max(1, epochs - epochs // 2)
@@ -159,35 +183,31 @@ def decide(score: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and confidence of each row of scores: family first, then the pairs within it."""
     families = list(FAMILIES)
     f = score[:, : len(families)]
-    chosen = f.argmax(axis=1)
     top = np.sort(f, axis=1)
-    sure = top[:, -1] - top[:, -2]
-    out: list[str] = []
-    for i, k in enumerate(chosen):
-        members = FAMILIES[families[k]]
-        votes = dict.fromkeys(members, 0.0)
-        for j, (a, b) in enumerate(PAIRS):
-            if a in votes and b in votes:
-                s = float(score[i, len(families) + j])
-                votes[a] += np.clip(s, -1, 1)
-                votes[b] -= np.clip(s, -1, 1)
-        ranked = sorted(votes, key=votes.get, reverse=True)
-        out.append(ranked[0])
-        if len(ranked) > 1:
-            sure[i] = min(sure[i], (votes[ranked[0]] - votes[ranked[1]]))
-    return out, 1 / (1 + np.exp(-4 * sure))
-
-
-def label_of(label: str | None) -> str | None:
-    """Two-letter code a label stands for; None where it is missing, a placeholder or not understood."""
-    if not label:
-        return None
-    low = unicodedata.normalize("NFKD", label.strip().lower()).encode("ascii", "ignore").decode()
-    low = re.split(r"[-_/ (]", low)[0] if low else ""
-    for code, names in NAMES.items():
-        if low in names.split():
-            return code
-    return None
+    sure = (top[:, -1] - top[:, -2]).astype(np.float64)
+    votes = np.zeros((len(score), len(LANGUAGES)))
+    for j, (a, b) in enumerate(PAIRS):
+        s = np.clip(score[:, len(families) + j], -1, 1)
+        votes[:, LANGUAGES.index(a)] += s
+        votes[:, LANGUAGES.index(b)] -= s
+    member = np.array([[FAMILY_OF[x] == name for x in LANGUAGES] for name in families])[f.argmax(axis=1)] if len(score) else np.zeros((0, len(LANGUAGES)), dtype=bool)
+    votes = np.where(member, votes, -np.inf)
+    ranked = np.sort(votes, axis=1)
+    several = member.sum(axis=1) > 1
+    sure[several] = np.minimum(sure, ranked[:, -1] - ranked[:, -2])[several]
+    return [LANGUAGES[k] for k in votes.argmax(axis=1)], 1 / (1 + np.exp(-4 * sure))
+
+
+#: Accented letters of Latin script and their plain forms, by rule.
+ACCENTED = {c: p for c in map(chr, range(0xC0, 0x250)) if len(p := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) == 1}
+CODE_OF = {name: code for code, names in NAMES.items() for name in names.split()}
+
+
+def label_code(label: Column) -> Column:
+    """Two-letter code a label stands for; null where it is missing, a placeholder or not understood."""
+    plain = F.regexp_replace(F.translate(F.lower(F.trim(label)), "".join(ACCENTED), "".join(ACCENTED.values())), r"[^\x00-\x7f]", "")
+    name = F.regexp_extract(plain, r"^([^-_/ (]*)", 1)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CODE_OF.items() for x in pair)), name)
 
 
 def fit(documents: DataFrame, text: str, lang: str, per_language: int = 600, longest: int = 20_000) -> np.ndarray:
@@ -197,47 +217,38 @@ def fit(documents: DataFrame, text: str, lang: str, per_language: int = 600, lon
     bounded. Both bounds hold for the sample only: every document is labelled by
     the model, whole.
     """
-    labelled = documents.select(F.col(f"`{text}`").alias("t"), F.lower(F.trim(F.col(f"`{lang}`"))).alias("l")).where("t is not null and l is not null and l <> ''")
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500).collect()}
-    total: dict[str, int] = {}
-    for l, n in counts.items():
-        if code := label_of(l):
-            total[code] = total.get(code, 0) + n
-    share = {l: min(1.0, per_language / total[code]) for l in counts if (code := label_of(l))}
-    if not share:
-        return train([(w, x) for x in LANGUAGES for w in [FREQUENT[x]] * 4])
-    spark = documents.sparkSession
-    cut = spark.createDataFrame([(l, int(s * 1_000_000), label_of(l)) for l, s in share.items()], "l string, cut int, code string")
-    sample = labelled.join(F.broadcast(cut), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.col("cut"))
-    rows = sample.where(F.length("t") <= longest).select("t", "code").dropDuplicates(["t"]).collect()
-    first: list[tuple[str, str]] = [(FREQUENT[x], x) for x in LANGUAGES for _ in range(20)]
-    votes: dict[bytes, Counter] = {}
-    words: dict[bytes, str] = {}
+    labelled = documents.select(F.col(f"`{text}`").alias("t"), label_code(F.col(f"`{lang}`")).alias("code")).where("t is not null and code is not null")
+    total = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row per language
+    first: list[tuple[tuple[str, ...], str, int]] = [(folded(FREQUENT[x]), x, 20) for x in LANGUAGES]
+    if not total:
+        return train(first)
+    cut = F.create_map(*(F.lit(x) for code, n in total.items() for x in (code, int(min(1.0, per_language / n) * 1_000_000))))
+    sample = labelled.where((F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < cut[F.col("code")]) & (F.length("t") <= longest))
+    rows = sample.dropDuplicates(["t"]).collect()
+    votes: dict[tuple[str, ...], Counter] = {}
     for r in rows:
         for a, b, whole in sentences_of(r["t"]):
-            if whole and len(f := folded(r["t"][a:b])) > 3:
+            if whole and (f := folded(r["t"][a:b])):
                 votes.setdefault(f, Counter())[r["code"]] += 1
-                words.setdefault(f, r["t"][a:b])
     # A sentence goes by what most documents holding it are labelled; the oftener it stands, the surer that is.
     kept = dict.fromkeys(LANGUAGES, 0)
-    pieces: list[tuple[str, str]] = []
+    pieces: list[tuple[tuple[str, ...], str, int]] = []
     for f in sorted(votes, key=lambda f: (-votes[f].total(), f)):
         code = min(votes[f], key=lambda x: (-votes[f][x], x))
         if contradicted(f, code):
             continue
         if kept[code] < 4 * per_language:
             kept[code] += 1
-            pieces += [(words[f], code)] * min(8, votes[f].total())
+            pieces.append((f, code, min(8, votes[f].total())))
     # Labels are partly wrong: a first model is fitted to all, and pieces it puts elsewhere are dropped.
     table = train(first + pieces, epochs=3)
-    said, _ = decide(scores([folded(t) for t, _ in pieces], table)) if pieces else ([], None)
+    said, _ = decide(Scorer(table).scores([f for f, _, _ in pieces])) if pieces else ([], None)
     return train(first + [p for p, x in zip(pieces, said) if p[1] == x])
 
 
-def contradicted(sentence: bytes, code: str) -> bool:
+def contradicted(sentence: tuple[str, ...], code: str) -> bool:
     """Whether the frequent words of the sentence speak more for another language than for the one its documents name."""
-    present = sentence.decode().split()
-    counts = {x: sum(w in SETS[x] for w in present) for x in LANGUAGES}
+    counts = {x: sum(w in SETS[x] for w in sentence) for x in LANGUAGES}
     return max(counts.values()) > counts[code] + 1
 
 
@@ -252,15 +263,16 @@ def segments(documents: DataFrame, model: np.ndarray, doc_key: str = "doc_id", t
     schema = f"{doc_key} bigint, label string, seg_no int, start_at int, end_at int, lang string, confidence double, whole boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 b = batch.iloc[lo : lo + 1000]
                 cuts = [sentences_of(t) for t in b["t"]]
                 texts = [folded(t[a:e]) for t, c in zip(b["t"], cuts) for a, e, _ in c]
-                said, sure = decide(scores(texts, shared.value)) if texts else ([], np.zeros(0))
+                said, sure = decide(scorer.scores(texts)) if texts else ([], np.zeros(0))
                 at, rows = 0, []
                 for k, label, c in zip(b["k"], b["l"], cuts):
-                    part = [(a, e, w, said[at + i], float(sure[at + i]), len(texts[at + i])) for i, (a, e, w) in enumerate(c) if len(texts[at + i]) > 2]
+                    part = [(a, e, w, said[at + i], float(sure[at + i]), e - a) for i, (a, e, w) in enumerate(c) if texts[at + i]]
                     at += len(c)
                     rows += [(k, label if isinstance(label, str) else None, *x) for x in joined(part)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
@@ -306,14 +318,10 @@ def relabelled(documents: DataFrame, doc_key: str = "doc_id", text: str = "text"
     """doc_id, lang, confidence for each document whose label is missing, wrong or insufficient: one row per language it has sentences in."""
     found = segments(documents, fit(documents, text, lang, per_language), doc_key, text, lang)
 
-    @F.pandas_udf("string")
-    def code(label: pd.Series) -> pd.Series:
-        return label.map(lambda x: label_of(x) if isinstance(x, str) else None)
-
     by = found.groupBy(doc_key, "label", "lang").agg(
         (F.sum(F.col("confidence") * (F.col("end_at") - F.col("start_at"))) / F.sum(F.col("end_at") - F.col("start_at"))).alias("confidence")
     )
     docs = by.groupBy(doc_key, "label").agg(F.collect_list(F.struct("lang", "confidence")).alias("found"))
-    named = docs.withColumn("code", code("label"))
+    named = docs.withColumn("code", label_code(F.col("label")))
     wrong = named.where(F.col("code").isNull() | (F.size("found") > 1) | (F.col("found")[0]["lang"] != F.col("code")))
     return wrong.select(doc_key, F.explode("found").alias("f")).select(doc_key, F.col("f.lang").alias("lang"), F.col("f.confidence").alias("confidence"))
