@@ -43,6 +43,13 @@ def neighbourhood(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), first, second))
 
 
+def first_threes(word: Column) -> Column:
+    """The first letter with every two later ones, in order."""
+    at = F.sequence(F.lit(2), F.length(word) - 1)
+    pairs = F.transform(at, lambda i: F.transform(F.sequence(i + 1, F.length(word)), lambda k: F.concat(F.substring(word, 1, 1), F.substring(word, i, F.lit(1)), F.substring(word, k, F.lit(1)))))
+    return F.array_distinct(F.flatten(pairs))
+
+
 def edit_distance(a: str, b: str) -> int:
     """Edits between two words: insert, delete or change a letter, or swap two neighbours, between which letters may be put in or lost."""
     far = len(a) + len(b)
@@ -84,27 +91,23 @@ def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     near = tokens.where((F.length("token") >= 3) & (F.length("token") <= longest + 2))
     a = near.select("token", F.explode(neighbourhood(F.col("token"))).alias("part"))
     b = vocabulary.where(F.length("word") >= 3).select("word", F.explode(neighbourhood(F.col("word"))).alias("part"))
-    pairs = a.join(b, "part").select("token", "word").distinct()
+    few = F.expr("case when least(length(token), length(word)) >= 4 or (length(word) >= 5 and left(token, 1) = left(word, 1)) then 2 else 1 end")
+    # Two edits, a swap among them, are at most four changes of single letters; only where swaps may have saved some is Python asked.
+    plain = F.expr("levenshtein(token, word, 4)")
+    pairs = a.join(b, "part").where("token <> word").select("token", "word").distinct().withColumn("plain", plain).where("plain >= 0").withColumn("few", few)
     close = (
-        pairs.withColumn("d", edits("token", "word"))
+        pairs.withColumn("d", F.when(F.col("plain") <= 1, F.col("plain")).otherwise(edits("token", "word")))
         .withColumn("size", F.greatest(F.length("token"), F.length("word")))
-        .where("d <= case when least(length(token), length(word)) >= 4 or (length(word) >= 5 and left(token, 1) = left(word, 1)) then 2 else 1 end and d * 2 < size")
+        .where("d <= few and d * 2 < size")
         .select("token", "word", (1 - F.col("d") / F.col("size")).alias("sim"))
     )
-    first = F.substring("token", 1, 1)
-    short = (
-        near.join(vocabulary.withColumn("first", F.substring("word", 1, 1)), first == F.col("first"))
-        .where("length(token) < length(word)")
-        .where(
-            F.col("word").startswith(F.col("token"))
-            | (
-                (F.length("token") >= 4)
-                & (F.length("token") * 2 >= F.length("word"))
-                & F.expr("word rlike concat('^', regexp_replace(token, '(.)', '$1.*'), '$')")
-            )
-        )
-        .select("token", "word", F.lit(0.8).alias("sim"))
-    )
+    # Beginnings, and the first three letters of what may be left of a word: joins by equality.
+    prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("token"))
+    begun = near.join(prefixes, "token").where("length(token) < length(word)").select("token", "word")
+    left = near.where("length(token) >= 4").select("token", F.substring("token", 1, 3).alias("three"))
+    thrice = vocabulary.where("length(word) > 4").select("word", F.explode(first_threes(F.col("word"))).alias("three"))
+    within = left.join(thrice, "three").where("length(token) < length(word) and length(token) * 2 >= length(word) and word rlike concat('^', regexp_replace(token, '(.)', '$1.*'), '$')")
+    short = begun.unionByName(within.select("token", "word")).select("token", "word", F.lit(0.8).alias("sim"))
     same = tokens.join(vocabulary, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
     return same.unionByName(close).unionByName(short).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
