@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,26 @@ from pyspark.sql import types as T
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "trk", "cs_origin", "lh_src", "ref", "referrer", "fbclid", "gclid")
 LOCALE_PARAMS = ("lang", "language", "locale")
 LEGAL_FORMS = ("inc", "llc", "ltd", "corp", "corporation", "gmbh", "ag", "sa", "sas", "bv", "plc", "co", "company", "limited")
-ROLE_STOPWORDS = ("and", "for", "the", "with", "remote", "senior", "junior", "staff", "lead", "principal", "associate")
-SHORT_SPECIALTIES = ("ai", "ml", "qa", "bi", "ux", "sre")
-
+# Words of a title that say how high a role is.
+SENIORITY = tuple("junior mid middle senior staff principal lead head chief associate intern entry".split())
+# Words that don't tell roles apart: levels, contract and work modes, job words, common places, prepositions.
+ROLE_STOPWORDS = tuple(
+    (
+        "junior mid middle senior staff principal lead head chief associate intern entry level "
+        "remote hybrid onsite contract contractor freelance fulltime parttime permanent temporary internship "
+        "role position opportunity team based "
+        "bangalore bengaluru mumbai delhi hyderabad pune chennai london berlin paris madrid barcelona amsterdam dublin "
+        "york francisco seattle boston austin chicago toronto tokyo singapore sydney melbourne lisbon warsaw "
+        "europe emea apac latam americas india spain germany france italy canada brazil mexico japan "
+        "with from into over this that"
+    ).split()
+)
+# Short words that do tell roles apart.
+SHORT_SPECIALTIES = tuple("api sre sdk cli gpu cpu ios qa ux ui ar vr ocr crm erp".split())
+# Words that can't be all that two like roles share.
+BASELINE_WORDS = tuple("software engineer developer manager architect analyst designer consultant specialist platform systems services backend frontend full stack fullstack".split())
+# Least characters of a normalised text that gets a fingerprint.
+FINGERPRINT_LEAST = 200
 
 def squeezed(c: Column) -> Column:
     """Lower case, letters a-z and digits only."""
@@ -95,6 +113,22 @@ def role_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(spaced(c), " "), keep))
 
 
+def seniorities(c: Column) -> Column:
+    """The words of a title that say how high the role is."""
+    return F.array_distinct(F.filter(F.split(spaced(c), " "), lambda w: w.isin(*SENIORITY)))
+
+
+def same_role(a: Column, b: Column, at_least: float = 0.6) -> Column:
+    """Whether two titles are likely one role: seniorities that meet where both name one, two shared tokens of which one is no baseline word, and a token Jaccard of ``at_least``."""
+    shared = F.array_intersect(role_tokens(a), role_tokens(b))
+    telling = F.size(F.filter(shared, lambda w: ~w.isin(*BASELINE_WORDS))) > 0
+    return seniority_meets(seniorities(a), seniorities(b)) & (F.size(shared) >= 2) & telling & (token_jaccard(role_tokens(a), role_tokens(b)) >= at_least)
+
+
+def seniority_meets(a: Column, b: Column) -> Column:
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+
+
 def role_key(c: Column) -> Column:
     """``squeezed`` after closing bracketed asides (up to three) are dropped."""
     out = F.trim(c)
@@ -197,22 +231,33 @@ def last_object_with_status(texts: pd.Series) -> pd.Series:
     return texts.map(find)
 
 
+def words_of_text(c: Column) -> Column:
+    """Lower-case letters and digits of any script, one blank between words; without tags, entities and links."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "<[^>]*>", " "), "&[a-z#0-9]+;", " "), r"https?://\S+", " ")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+
+
 @F.pandas_udf(T.LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    """64-bit SimHash of a text over its distinct runs of three words, by majority of the bits of their sha1; null for texts of fewer words.
+def majority64(texts: pd.Series) -> pd.Series:
+    """By majority over all runs of three words, each counted as often as it occurs, of the first 64 bits of their sha1; null for fewer than three words.
 
     Python, since 64 majorities over every text's runs make code that the JVM won't compile.
     """
 
     def one(t: str | None) -> int | None:
-        if not isinstance(t, str):
-            return None
-        words = re.findall(r"[a-z0-9]+", t.lower())
-        runs = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+        words = t.split(" ") if isinstance(t, str) else []
+        runs = Counter(" ".join(words[i : i + 3]) for i in range(len(words) - 2))
         if not runs:
             return None
         digests = np.frombuffer(b"".join(hashlib.sha1(r.encode()).digest()[:8] for r in runs), dtype=np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(digests, axis=1).sum(axis=0) * 2 > len(runs)
+        times = np.fromiter(runs.values(), dtype=np.int64)
+        bits = (np.unpackbits(digests, axis=1) * times[:, None]).sum(axis=0) * 2 > times.sum()
         return int(np.packbits(bits).view(">i8")[0])
 
     return pd.Series([one(t) for t in texts], index=texts.index, dtype="Int64")
+
+
+def simhash64(c: Column) -> Column:
+    """64-bit SimHash of a text; null where its words have under ``FINGERPRINT_LEAST`` characters in all."""
+    words = words_of_text(c)
+    return majority64(F.when(F.length(words) >= FINGERPRINT_LEAST, words))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,29 +68,44 @@ def similar_token_sets(df: DataFrame, key: str, tokens: str, at_least: float, le
 def near_fingerprints(df: DataFrame, key: str, fingerprint: str, bits: int = 5) -> DataFrame:
     """a, b, distance: pairs of different 64-bit fingerprints at most ``bits`` apart; keys that share one fingerprint are one row, of the smallest key.
 
-    Exact by the pigeonhole: cut into ``bits + 1`` bands, two such fingerprints agree in one.
+    Exact by the pigeonhole: cut into ``bits + 2`` bands, two such fingerprints agree in two, so
+    that every two bands together are a key, of 18 bits for the usual five.
     """
-    bands = bits + 1
-    width = 64 // bands
     one = df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("f")).agg(F.min(key).alias("k"))
-    last = (1 << (64 - width * bits)) - 1
-    masks = [(1 << width) - 1] * bits + [last]
-    cut = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("f", i * width).bitwiseAND(F.lit(m).cast("bigint")).alias("v")) for i, m in enumerate(masks)]
-    each = one.select("k", "f", F.explode(F.array(*cut)).alias("c")).select("k", "f", "c.i", "c.v")
-    a, b = each.select(F.col("k").alias("a"), F.col("f").alias("fa"), "i", "v"), each.select(F.col("k").alias("b"), F.col("f").alias("fb"), "i", "v")
+    bands = bits + 2
+    edges = [64 * i // bands for i in range(bands + 1)]
+
+    def band(i: int) -> Column:
+        width = edges[i + 1] - edges[i]
+        return F.shiftrightunsigned("f", edges[i]).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+    cut = [F.struct(F.lit(i * bands + j).alias("i"), band(i).alias("v"), band(j).alias("w")) for i, j in combinations(range(bands), 2)]
+    each = one.select("k", "f", F.explode(F.array(*cut)).alias("c")).select("k", "f", "c.i", "c.v", "c.w")
+    a, b = each.select(F.col("k").alias("a"), F.col("f").alias("fa"), "i", "v", "w"), each.select(F.col("k").alias("b"), F.col("f").alias("fb"), "i", "v", "w")
     far = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    return a.join(b, ["i", "v"]).where("a < b").withColumn("distance", far).where(F.col("distance") <= bits).select("a", "b", "distance").distinct()
+    return a.join(b, ["i", "v", "w"]).where("a < b").withColumn("distance", far).where(F.col("distance") <= bits).select("a", "b", "distance").distinct()
 
 
-def fingerprint_links(df: DataFrame, key: str, fingerprint: str, bits: int = 5) -> DataFrame:
-    """a, b, distance: ``near_fingerprints``, and at distance 0 each further key of a fingerprint with its smallest key.
+def cross_listings(df: DataFrame, key: str, fingerprint: str, owner: str, link: str, bits: int = 5) -> DataFrame:
+    """a, b, distance: rows whose fingerprints are at most ``bits`` apart under different owners and links.
 
-    Two keys are linked when their smallest keys are one or linked, so that no pair is lost.
+    Rows equal in fingerprint, owner and link are copies, and the smallest key stands for
+    them. Of one fingerprint under several owners, the smallest key is given with those of
+    every other owner, at distance 0, instead of all pairs; fingerprints that differ are paired in full. Null
+    fingerprints and keys are left out; a null owner or link is a value of its own.
     """
-    held = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("f")).where("f is not null and k is not null").distinct()
-    least = held.groupBy("f").agg(F.min("k").alias("a"))
-    members = held.join(least, "f").where("a < k").select("a", F.col("k").alias("b"), F.lit(0).alias("distance"))
-    return near_fingerprints(df, key, fingerprint, bits).unionByName(members)
+    rows = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("f"), F.coalesce(F.col(owner), F.lit("")).alias("o"), F.coalesce(F.col(link), F.lit("")).alias("l")).where("f is not null and k is not null")
+    nodes = rows.groupBy("f", "o", "l").agg(F.min("k").alias("k"))
+    first = nodes.groupBy("f").agg(F.min(F.struct("k", "o", "l")).alias("m")).select("f", F.col("m.k").alias("ka"), F.col("m.o").alias("oa"), F.col("m.l").alias("la"))
+    apart = (F.col("oa") != F.col("ob")) & (F.col("la") != F.col("lb"))
+    other = nodes.select("f", F.col("k").alias("kb"), F.col("o").alias("ob"), F.col("l").alias("lb"))
+    equal = first.join(other, "f").where(apart).select("ka", "kb", F.lit(0).alias("distance"))
+    near = near_fingerprints(first.select(F.col("ka").alias("k"), "f"), "k", "f", bits)
+    of = first.select("f", F.col("ka").alias("rep"))
+    sides = near.join(of.select(F.col("rep").alias("a"), F.col("f").alias("fa")), "a").join(of.select(F.col("rep").alias("b"), F.col("f").alias("fb")), "b").select("fa", "fb", "distance")
+    left = nodes.select(F.col("f").alias("fa"), F.col("k").alias("ka"), F.col("o").alias("oa"), F.col("l").alias("la"))
+    far = sides.join(left, "fa").join(other.withColumnRenamed("f", "fb"), "fb").where(apart).select("ka", "kb", "distance")
+    return equal.unionByName(far).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance").distinct()
 
 
 def best_name_match(left: DataFrame, right: DataFrame, name: str) -> DataFrame:

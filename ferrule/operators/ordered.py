@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.plans.session import written
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order. Null keys form one key. The rank is a top-1, which Spark cuts before the shuffle."""
@@ -56,17 +58,25 @@ def folded_ledger(df: DataFrame, key: str, line: str, date: str, to: str, source
 def assigned_ids(df: DataFrame, id: str, order: str) -> DataFrame:
     """Missing and repeated ids are replaced, in source order, by numbers after the largest one.
 
-    Of a repeated id the first row keeps it. The rows to renumber are few; they
-    alone are gathered to be numbered.
+    Of a repeated id the first row keeps it. The rows to renumber are numbered range by
+    range of the order, each range after those before it, so that no task holds them all.
     """
-    keep = F.row_number().over(Window.partitionBy(id).orderBy(order)) == 1
-    marked = df.withColumn("_bad", F.col(id).isNull() | ~keep)
+    first = F.min(order).over(Window.partitionBy(id))
+    marked = df.withColumn("_bad", F.col(id).isNull() | (F.col(order) > first))
     top = df.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))
-    bad = marked.where("_bad").withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    mended = bad.join(F.broadcast(top)).withColumn(id, F.col("_top") + F.col("_n")).drop("_n", "_top")  # top is one row
+    mended = numbered(marked.where("_bad"), order, "_n").join(F.broadcast(top)).withColumn(id, F.col("_top") + F.col("_n")).drop("_n", "_top")  # top is one row
     return marked.where("not _bad").unionByName(mended).drop("_bad")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the row's number from 1 in ``order`` (without ties): counted by ranges, of which only the counts are summed in one task."""
+    parts = written(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    offsets = parts.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", before.alias("_before"))
+    r = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return parts.withColumn("_r", r).join(offsets, "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+
+
 def anchored_clusters(df: DataFrame, keys: list[str], date: str, days: int, name: str = "cluster") -> DataFrame:
     """keys, date, cluster: runs of dates anchored at their first; a date more than ``days`` after the anchor starts a new run.
 

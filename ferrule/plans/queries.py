@@ -212,31 +212,73 @@ def j8_phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     return joins.phrase_matches(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "applications"), "company")
 
 
-ROLE_TOKENS_SQL = "list_distinct(list_filter(string_split({0}, ' '), lambda w: (length(w) > 3 or w in ('ai', 'ml', 'qa', 'bi', 'ux', 'sre')) and w not in ('and', 'for', 'the', 'with', 'remote', 'senior', 'junior', 'staff', 'lead', 'principal', 'associate')))"
+def _sql_list(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+ROLE_TOKENS_SQL = f"list_distinct(list_filter(string_split({{0}}, ' '), lambda w: (length(w) > 3 or w in ({_sql_list(S.SHORT_SPECIALTIES)})) and w not in ({_sql_list(S.ROLE_STOPWORDS)})))"
+SENIORITY_SQL = f"list_filter(string_split({{0}}, ' '), lambda w: w in ({_sql_list(S.SENIORITY)}))"
 
 
 @query(
     "j10_fuzzy_roles",
-    f"""with t as (select title, {ROLE_TOKENS_SQL.format(SPACE_SQL.format("title"))} as k from (select distinct title from jobs where title is not null))
-        select a.title as a, b.title as b, round(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double, 6) as similarity
-        from t a join t b on a.title < b.title and len(a.k) >= 2 and len(b.k) >= 2
-        where len(list_intersect(a.k, b.k)) >= 2 and len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))::double >= 0.6""",
+    f"""with t as (select title, {ROLE_TOKENS_SQL.format(SPACE_SQL.format("title"))} as k, {SENIORITY_SQL.format(SPACE_SQL.format("title"))} as s from (select distinct title from jobs where title is not null)),
+             p as (select a.title as a, b.title as b, list_intersect(a.k, b.k) as i, len(list_distinct(list_concat(a.k, b.k))) as u from t a join t b on a.title < b.title
+                   where len(a.k) >= 2 and len(b.k) >= 2 and (len(a.s) = 0 or len(b.s) = 0 or len(list_intersect(a.s, b.s)) > 0))
+        select a, b, round(len(i) / u::double, 6) as similarity from p where len(i) >= 2 and len(i) / u::double >= 0.6 and len(list_filter(i, lambda w: w not in ({_sql_list(S.BASELINE_WORDS)}))) > 0""",
 )
 def j10_fuzzy_roles(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "jobs").where("title is not null").select("title").distinct().withColumn("k", S.role_tokens(F.col("title")))
     got = joins.similar_token_sets(titles, "title", "k", 0.6)
-    return got.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return got.where(S.same_role(F.col("a"), F.col("b"))).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j11_cross_listing")
-def j11_cross_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose 64-bit fingerprints of the whole text are at most five bits apart.
+FINGERPRINT_SQL = r"""w as (select job_id, string_split(n, ' ') as w from (select job_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(jd_text), '<[^>]*>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'g'),
+         'https?://\S+', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) as n from jobs where jd_text is not null) where length(n) >= 200),
+       s as (select job_id, sha1(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as h from w, unnest(range(1, len(w) - 1)) as r(i)),
+       v as (select job_id, b, sum(case when ((strpos('0123456789abcdef', substr(h, b // 4 + 1, 1)) - 1) >> (3 - b % 4)) & 1 = 1 then 1 else -1 end) > 0 as bit from s, range(64) as g(b) group by 1, 2),
+       f as (select job_id, string_agg(case when bit then '1' else '0' end, '' order by b) as f from v group by 1)"""
 
-    Documents of equal fingerprint are given at distance 0 with the one of smallest
-    doc_id; it stands for them in the pairs of different fingerprints.
-    """
-    docs = spread(table(spark, d, "documents").where("length(text) >= 200").select("doc_id", "text")).select("doc_id", S.simhash64(F.col("text")).alias("f"))
-    return joins.fingerprint_links(docs, "doc_id", "f", 5)
+
+@query(
+    "e17_fingerprints",
+    f"with {FINGERPRINT_SQL} select job_id, f as bits from f",
+)
+def e17_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The 64-bit fingerprint of each posting's text, as bits."""
+    j = spread(table(spark, d, "jobs").where("jd_text is not null").select("job_id", "jd_text")).select("job_id", S.simhash64(F.col("jd_text")).alias("f"))
+    return j.where("f is not null").select("job_id", F.lpad(F.bin("f"), 64, "0").alias("bits"))
+
+
+@query(
+    "e18_similarity",
+    f"""with {FINGERPRINT_SQL} select x.job_id as job_id, 1 - len(list_filter(range(1, 65), lambda i: x.f[i] <> y.f[i])) / 64.0 as similarity from f x join jobs j on j.job_id = x.job_id
+        join jobs k on k.job_id = j.job_id + 1 join f y on y.job_id = k.job_id""",
+)
+def e18_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting's text compared with that of the row after it."""
+    j = spread(table(spark, d, "jobs").where("jd_text is not null").select("job_id", "jd_text")).select("job_id", S.simhash64(F.col("jd_text")).alias("f")).where("f is not null")
+    nxt = j.select((F.col("job_id") - 1).alias("job_id"), F.col("f").alias("g"))
+    return j.join(nxt, "job_id").select("job_id", S.hamming_similarity(F.col("f"), F.col("g")).alias("similarity"))
+
+
+@query(
+    "j11_cross_listing",
+    f"""with {FINGERPRINT_SQL},
+       r as (select f.job_id as k, f.f, {SQUEEZE_SQL.format("coalesce(j.company, '')")} as o, coalesce({LINK_SQL}, '') as l from f join jobs j using (job_id) where j.first_seen_at >= (select max(first_seen_at) - interval 90 day from jobs)),
+       n as (select f, o, l, min(k) as k from r group by 1, 2, 3),
+       m as (select *, k = min(k) over (partition by f) as head from n),
+       p as (select least(x.k, y.k) as a, greatest(x.k, y.k) as b, len(list_filter(range(1, 65), lambda i: x.f[i] <> y.f[i])) as distance from m x join m y on x.k < y.k and x.o <> y.o and x.l <> y.l and (x.f <> y.f or x.head))
+       select a, b, distance, round(1 - distance / 64.0, 6) as similarity from p where distance <= 5""",
+)
+def j11_cross_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the last 90 days whose texts' fingerprints are at most five bits apart (a similarity of 0.92), under different employers and links."""
+    jobs = table(spark, d, "jobs")
+    last = jobs.agg(F.max("first_seen_at").alias("_last"))
+    recent = jobs.where("jd_text is not null").join(F.broadcast(last)).where(F.col("first_seen_at") >= F.col("_last") - F.expr("interval 90 days"))  # last is one row
+    rows = spread(recent.select("job_id", "jd_text", S.squeezed(F.coalesce("company", F.lit(""))).alias("owner"), link().alias("link")))
+    got = joins.cross_listings(rows.withColumn("f", S.simhash64(F.col("jd_text"))), "job_id", "f", "owner", "link")
+    return got.select("a", "b", "distance", F.round(1 - F.col("distance") / 64.0, 6).alias("similarity"))
 
 
 @query(
@@ -1188,10 +1230,10 @@ def e14_annual(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e16_role_keys",
-    "select distinct title, regexp_replace(lower(regexp_replace(title, '(\\s*\\([^()]*\\))+\\s*$', '')), '[^a-z0-9]', '', 'g') as key from jobs where title is not null and not contains(title, '[')",
+    r"select distinct title, regexp_replace(lower(regexp_replace(title, '(\s*(\([^()]*\)|\[[^\[\]]*\])){0,3}\s*$', '')), '[^a-z0-9]', '', 'g') as key from jobs where title is not null",
 )
 def e16_role_keys(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "jobs").where("title is not null and not contains(title, '[')").select("title").distinct()
+    t = table(spark, d, "jobs").where("title is not null").select("title").distinct()
     return t.select("title", S.role_key(F.col("title")).alias("key"))
 
 
@@ -1262,11 +1304,7 @@ def d12_reserved_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive numbers after the largest in use, for the rows being worked on."""
     top = table(spark, d, "applications").agg(F.max("id").alias("top"))
     j = table(spark, d, "jobs").where("queue_status = 'in_progress'").select("job_id")
-    parts = j.repartitionByRange(8, "job_id").withColumn("p", F.spark_partition_id())
-    offsets = parts.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    numbered = parts.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("job_id"))).join(offsets.select("p", before.alias("before")), "p")
-    return numbered.join(F.broadcast(top)).select("job_id", (F.col("top") + F.col("before") + F.col("r")).alias("number"))
+    return ordered.numbered(j, "job_id", "n").join(F.broadcast(top)).select("job_id", (F.col("top") + F.col("n")).alias("number"))  # top is one row
 
 
 @query(

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -86,6 +87,37 @@ def test_scalars_of_text(spark):
     assert one(spark, S.simhash64, "a b") is None and one(spark, S.simhash64, None) is None
 
 
+def test_fingerprint_counts_every_run_of_any_script(spark):
+    text = "дом сад <b>лес</b> &amp; https://x.example/y " * 30 + "река"
+    words = " ".join(["дом сад лес"] * 30 + ["река"]).split(" ")
+    votes = [0] * 64
+    for i in range(len(words) - 2):
+        h = int.from_bytes(hashlib.sha1(" ".join(words[i : i + 3]).encode()).digest()[:8], "big")
+        votes = [v + (1 if h >> (63 - b) & 1 else -1) for b, v in enumerate(votes)]
+    want = sum(1 << (63 - b) for b, v in enumerate(votes) if v > 0)
+    assert one(spark, S.simhash64, text) & (2**64 - 1) == want
+    assert one(spark, S.simhash64, "word " * 39) is None and one(spark, S.simhash64, "字" * 300) is None
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("Senior Data Engineer, Payments", "Principal Data Engineer, Payments", False), ("Senior Data Platform Lead", "Senior Staff Data Platform", True), ("Data Engineer, Payments", "Senior Data Engineer, Payments", True),
+        ("Full Stack Engineer, Foundation", "Full Stack Engineer, Guarded Releases", False), ("Software Engineer", "Software Engineer", False), ("AI ML Lead", "AI ML Lead", False), ("API SDK", "SDK, API (Remote)", True), (None, "x", None), ("", "", False),
+    ],
+)
+def test_same_role(spark, a, b, same):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(S.same_role(F.col("a"), F.col("b"))).first()[0] in ({same} if same is not None else {None, False})
+
+
+def test_cross_listings(spark):
+    rows = [(1, 7, "a", "u1"), (2, 7, "b", "u2"), (3, 7, "b", "u2"), (4, 6, "c", "u4"), (5, 7, "a", "u5"), (6, -1, "a", "u6"), (7, 7, "d", "u1"), (8, None, "e", "u8"), (9, 6, None, None)]
+    df = spark.createDataFrame(rows, "id int, f bigint, o string, l string")
+    got = {(r.a, r.b, r.distance) for r in joins.cross_listings(df, "id", "f", "o", "l", 2).collect()}
+    assert got == {(1, 2, 0), (4, 9, 0), (1, 4, 1), (2, 4, 1), (4, 5, 1), (4, 7, 1), (1, 9, 1), (2, 9, 1), (5, 9, 1), (7, 9, 1)}
+    assert joins.cross_listings(df.limit(0), "id", "f", "o", "l").count() == 0
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("Sr AI lead", 1), ("Mainframe", 2), (None, 3), ("Junior data", 4)], "t string, i int")
     ok = lambda c: [r.i for r in df.where(c).orderBy("i").collect()]
@@ -165,17 +197,6 @@ def test_near_fingerprints_equal_brute_force(spark):
     assert {(r.a, r.b) for r in joins.near_fingerprints(df, "k", "f", 5).collect()} == want
 
 
-def test_fingerprint_links_lose_no_copy(spark):
-    prints = {1: 7, 2: 7, 3: 7, 4: 6, 5: 6, 6: -1, 7: -1, 8: 1 << 40}
-    df = spark.createDataFrame([*prints.items(), (2, 7), (9, None)], "k int, f bigint")
-    got = joins.fingerprint_links(df, "k", "f", 2).collect()
-    at = {(r.a, r.b): r.distance for r in got}
-    assert len(got) == len(at)
-    of = {k: k for k in prints} | {b: a for (a, b), d in at.items() if d == 0}
-    linked = {(x, y) for x in prints for y in prints if x < y and (of[x] == of[y] or (min(of[x], of[y]), max(of[x], of[y])) in at)}
-    assert linked == {(x, y) for x in prints for y in prints if x < y and bin((prints[x] ^ prints[y]) & (2**64 - 1)).count("1") <= 2}
-
-
 def test_nearest_vectors_in_blocks(spark):
     rng = random.Random(3)
     v = {i: [rng.random() for _ in range(4)] for i in range(30)}
