@@ -1285,20 +1285,6 @@ def e35_unknown_claims(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.array_sort(F.array_except(F.regexp_extract_all("text", F.lit("([0-9]+ years)"), 1), known)), ",").alias("claims"))
 
 
-@query(
-    "d9_merge_additions",
-    """with b as (select * from applications where pos % 2 = 0), n as (select company, role, max(try_cast(regexp_extract(score, '^([0-9.]+)/5$', 1) as double)) as s from applications where pos % 2 = 1 and company is not null and role is not null group by 1, 2)
-       select b.id, b.status, case when n.s is not null and n.s > coalesce(try_cast(regexp_extract(b.score, '^([0-9.]+)/5$', 1) as double), -1) then n.s else try_cast(regexp_extract(b.score, '^([0-9.]+)/5$', 1) as double) end as score
-       from b left join n on n.company = b.company and n.role = b.role""",
-)
-def d9_merge_additions(spark: SparkSession, d: str) -> DataFrame:
-    """Rows keep their status and take a better score from the additions of the same company and role."""
-    a = table(spark, d, "applications").withColumn("s", S.leading_number(F.col("score")))
-    n = a.where("pos % 2 = 1 and company is not null and role is not null").groupBy("company", "role").agg(F.max("s").alias("better"))
-    b = a.where("pos % 2 = 0").join(n, ["company", "role"], "left")
-    return b.select("id", "status", F.when(F.col("better") > F.coalesce("s", F.lit(-1.0)), F.col("better")).otherwise(F.col("s")).alias("score"))
-
-
 @query("d12_reserved_numbers", "select job_id, (select max(id) from applications) + row_number() over (order by job_id) as number from jobs where queue_status = 'in_progress'")
 def d12_reserved_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive numbers after the largest in use, for the rows being worked on."""

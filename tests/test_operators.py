@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import scalars as S
 from ferrule.functions.links import posting_key
-from ferrule.operators import filters, joins, merges, ordered
+from ferrule.operators import filters, joins, merges, ordered, queue
 
 
 def one(spark, column, value, kind="string"):
@@ -217,6 +217,40 @@ def test_upsert_keeps_first_seen_and_takes_better_dates(spark):
 def test_claims_never_overlap(spark):
     df = spark.createDataFrame([(i, "new", None) for i in range(10)], "i int, s string, t string")
     for token in ("a", "b", "c"):
-        df = merges.claim(df, "s", "new", "busy", [F.asc("i")], 4, token, "t")
+        df = queue.claim(df, "i", "s", "new", "busy", [F.asc("i")], 4, token, "t")
     got = {r.i: r.t for r in df.collect()}
     assert [got[i] for i in range(10)] == list("aaaabbbbcc")
+
+
+def test_queue_changes_are_guarded(spark):
+    df = spark.createDataFrame([(1, "busy", "a", 0, 5), (2, "busy", "b", 1, None), (3, "new", "a", None, 1), (4, None, None, None, None), (5, "busy", None, None, 1)], "i int, s string, t string, r int, at int")
+    states = lambda d: {r.i: (r.s, r.t, r.r) for r in d.collect()}
+    old = states(df)
+    done = states(queue.complete(df, "s", "busy", "done", "t", "a"))
+    assert done == old | {1: ("done", None, 0)} and states(queue.complete(queue.complete(df, "s", "busy", "done", "t", "a"), "s", "busy", "done", "t", "a")) == done
+    assert states(queue.release(df, "s", "busy", "new", "t", "b")) == old | {2: ("new", None, 1)}
+    assert states(queue.fail(df, "s", "busy", "new", "failed", "r", 2, F.lit(True))) == old | {1: ("new", "a", 1), 2: ("failed", "b", 2), 5: ("new", None, 1)}
+    assert states(queue.reclaim(df, "s", "busy", "new", "at", F.lit(3))) == old | {5: ("new", None, None)}
+    assert queue.claim(df.limit(0), "i", "s", "new", "busy", [F.asc("i")], 4, "z", "t").count() == 0
+
+
+def test_merged_additions(spark):
+    base = spark.createDataFrame([(1, 1, "A", "Dev", 3.0, "n", 1), (2, 2, "B", "Ops", None, None, 2), (3, 3, "A", "Dev", 4.0, "m", 3), (4, 4, None, None, 1.0, "z", 4)], "id bigint, pos bigint, company string, role string, score double, notes string, num bigint")
+    added = spark.createDataFrame(
+        [(10, 3, "A", "Dev", 4.5, "x"), (11, 99, "A", "Dev", 2.0, "y"), (12, 98, "B", "Ops", 1.5, "w"), (13, 97, "B", "Ops", 1.5, "v"), (14, 1, "C", "New", 5.0, "c"), (15, None, None, None, 5.0, "d"), (16, 3, "A", "Dev", None, "e")],
+        "pos bigint, num bigint, company string, role string, score double, notes string",
+    )
+    got = {r.id: (r.company, r.score, r.notes, r.change) for r in queue.merged_additions(base, added, "id", "pos", [["num", "company"], ["company", "role"]], "score").collect()}
+    assert got == {
+        1: ("A", 3.0, "n", "none"), 2: ("B", 1.5, None, "updated"), 3: ("A", 4.5, "was 4.0; m", "updated"), 4: (None, 1.0, "z", "none"),
+        5: ("C", 5.0, "c", "inserted"), 6: (None, 5.0, "d", "inserted"),
+    }
+    empty = queue.merged_additions(base, added.limit(0), "id", "pos", [["num", "company"]], "score")
+    assert {r.change for r in empty.collect()} == {"none"} and empty.count() == 4
+
+
+def test_resolved_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, None, "z")], "id int, c string, r string")
+    asks = spark.createDataFrame([(10, "a", "y"), (11, "a", "q"), (12, "b", "q"), (13, "n", None), (14, None, None), (10, "a", "y")], "k int, c string, r string")
+    got = sorted((r.k, r.id, r.outcome) for r in queue.resolved_rows(asks, "k", rows, "id", [["c", "r"], ["c"]]).collect())
+    assert got == [(10, 2, "one"), (11, None, "ambiguous"), (12, 3, "one"), (13, None, "none"), (14, None, "none")]

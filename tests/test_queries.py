@@ -5,6 +5,7 @@ import pytest
 from oracle import connect, difference
 
 import ferrule.plans.queries  # noqa: F401
+import ferrule.plans.record_queries  # noqa: F401
 from ferrule.plans.registry import QUERIES, SQL
 
 
