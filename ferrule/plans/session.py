@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,17 +38,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "fer
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
+    """The folder all executors share, which the session names in ``spark.checkpoint.dir``.
 
-    It is the one the session names in ``spark.checkpoint.dir``. Only where that
-    is unset, as in tests on one machine, a temporary folder is made and set.
+    Only on a single machine, as in tests, may it be unset: then a temporary folder is made,
+    used and deleted at the end. A cluster without it is an error, since its executors
+    would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     made = getattr(spark, "_ferrule_shared", None)
     if made is None:
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="ferrule-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark._ferrule_shared = made  # type: ignore[attr-defined]
         spark.sparkContext.setCheckpointDir(made)
     return made

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from ferrule.sources import sinks, text_tables
-from ferrule.sources.boards import provider_for
+from ferrule.sources.boards import PROVIDERS, board_files, postings_of, provider_for
 from ferrule.sources.workbook import register
 
 
@@ -85,3 +85,55 @@ def test_versions_and_safe_cells(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", "a\tb"), (None, "-x")], "a string, b string")
     sinks.write_separated(df, ["a", "b"], str(tmp_path / "s"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "s")).collect()) == ["\t'-x", "'=1+1\ta b"]
+
+
+DAY = "2026-01-02T03:04:05Z"
+PAYLOADS = {
+    "acme.greenhouse.io": {"jobs": [{"title": "Dev", "absolute_url": "https://x/1", "location": {"name": "Rome"}, "first_published": DAY}]},
+    "acme.lever.co": [{"text": "Dev", "hostedUrl": "https://x/1", "categories": {"location": "Rome"}, "createdAt": 1767323045000}],
+    "acme.ashbyhq.com": {"jobs": [{"title": "Dev", "jobUrl": "https://x/1", "location": "Rome", "publishedAt": DAY}]},
+    "acme.myworkdayjobs.com": {"jobPostings": [{"title": "Dev", "externalPath": "/job/1", "locationsText": "Rome"}]},
+    "acme.smartrecruiters.com": {"content": [{"name": "Dev", "id": "7", "company": {"identifier": "Acme", "name": "acme"}, "location": {"city": "Rome"}, "releasedDate": DAY}]},
+    "acme.recruitee.com": {"offers": [{"title": "Dev", "url": "https://x/1", "city": "Rome", "published_at": DAY}]},
+    "acme.breezy.hr": [{"name": "Dev", "url": "https://x/1", "location": {"name": "Rome"}, "published_date": DAY}],
+    "acme.bamboohr.com": {"result": [{"jobOpeningName": "Dev", "id": 5, "location": {"city": "Rome"}}]},
+    "acme.rippling.com": [{"name": "Dev", "url": "https://x/1", "workLocation": {"label": "Rome"}}],
+    "acme.pinpointhq.com": {"data": [{"title": "Dev", "url": "https://x/1", "location": {"city": "Rome"}}]},
+    "acme.arbeitnow.com": {"data": [{"title": "Dev", "url": "https://x/1", "company_name": "acme", "location": "Rome", "created_at": 1767323045}]},
+    "acme.remotive.com": {"jobs": [{"title": "Dev", "url": "https://x/1", "company_name": "acme", "candidate_required_location": "Rome", "publication_date": "2026-01-02T03:04:05"}]},
+    "acme.remoteok.com": [{"legal": "x"}, {"position": "Dev", "url": "https://x/1", "company": "acme", "location": "Rome", "epoch": 1767323045, "salary_min": 1, "salary_max": 2}],
+    "acme.himalayas.app": {"jobs": [{"title": "Dev", "applicationLink": "https://x/1", "companyName": "acme", "locationRestrictions": ["Rome"], "pubDate": 1767323045}]},
+    "acme.jobicy.com": {"jobs": [{"jobTitle": "Dev", "url": "https://x/1", "companyName": "acme", "jobGeo": "Rome", "pubDate": "2026-01-02 03:04:05"}]},
+    "acme.themuse.com": {"results": [{"name": "Dev", "refs": {"landing_page": "https://x/1"}, "company": {"name": "acme"}, "locations": [{"name": "Rome"}], "publication_date": DAY}]},
+    "acme.workingnomads.com": [{"title": "Dev", "url": "https://x/1", "company_name": "acme", "location": "Rome", "pub_date": DAY}],
+}
+
+
+@pytest.mark.parametrize("host", sorted(PAYLOADS))
+def test_provider_payloads(host):
+    p = provider_for(f"https://{host}/x")
+    assert p.name in host
+    (row,) = postings_of(json.dumps(PAYLOADS[host]), p, "acme", host)
+    assert row[2] == "Dev" and row[3].startswith("https://") and row[4:6] == ("acme", "Rome")
+    assert row[7] is None or row[7].isoformat() == "2026-01-02T03:04:05+00:00"
+    assert postings_of("{", p, "acme") == [] and postings_of('{"jobs": 3}', p, "acme") == []
+
+
+def test_other_payload_forms():
+    by = {p.name: p for p in PROVIDERS}
+    xml = "<positions><position><id>9</id><name>Dev</name><office>Rome</office><office>Bari</office><createdAt>2026-01-02T03:04:05+00:00</createdAt></position><position><name>No id</name></position></positions>"
+    assert [r[2:6] for r in postings_of(xml, by["personio"], "acme", "acme.personio.de")] == [("Dev", "https://acme.personio.de/job/9", "acme", "Rome, Bari")]
+    rss = "<rss><channel><item><title>Dev</title><link>u</link><pubDate>Fri, 02 Jan 2026 03:04:05 +0000</pubDate></item></channel></rss>"
+    assert postings_of(rss, by["larajobs"], "b")[0][7].isoformat() == "2026-01-02T03:04:05+00:00"
+    page = '<script id="__NEXT_DATA__" type="application/json">{"p": [{"title": "Dev", "url": "/jobs/1", "location": {"name": "Rome"}}, {"title": "Blog", "url": "/blog"}]}</script>'
+    page += '<div itemscope itemtype="https://schema.org/JobPosting"><h1 itemprop="title">Ops &amp; co</h1><a itemprop="url" href="/jobs/2">x</a><span itemprop="addressLocality">Bari</span></div>'
+    assert [r[2:6] for r in postings_of(page, by["page"], "acme")] == [("Dev", "/jobs/1", "acme", "Rome"), ("Ops & co", "/jobs/2", "acme", "Bari")]
+
+
+def test_board_files_equal_the_source(spark, tmp_path):
+    for host, data in PAYLOADS.items():
+        (tmp_path / f"{host}.json").write_text(json.dumps(data))
+    (tmp_path / "bad.lever.co.json").write_text("{")
+    key = lambda df: sorted((r.provider, r.title, r.url, r.company, r.location, str(r.posted_at)) for r in df.collect())
+    got = key(board_files(spark, str(tmp_path)))
+    assert len(got) == len(PAYLOADS) and got == key(spark.read.format("boards").option("path", f"{tmp_path}/*").load())
