@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,52 @@ class VersionedTable:
         if v > keep:
             drop_path(self.spark, f"{self.path}/v{v - keep}")
         return v
+
+
+def append_to_section(text: str | None, section: str, lines: list[str]) -> str:
+    """The document with the lines put at the end of its ``## section``, which is made at the end if it isn't there; None is an empty document."""
+    body = (text or "").replace("\r\n", "\n")
+    if not lines:
+        return body
+    added = "\n".join(lines)
+    m = re.search(rf"(?m)^## {re.escape(section)}[ \t]*$", body)
+    if not m:
+        return f"{body.rstrip()}\n\n## {section}\n\n{added}\n".lstrip("\n")
+    following = re.compile(r"(?m)^## ").search(body, m.end())
+    end = following.start() if following else len(body)
+    before, after = body[:end].rstrip(), body[end:]
+    return f"{before}\n{added}\n" + (f"\n{after}" if after else "")
+
+
+def append_counters(spark: SparkSession, path: str, at: str, counts: dict[str, int]) -> None:
+    """Appends one run's counters: run_at, name, n."""
+    spark.createDataFrame([(at, k, int(v)) for k, v in counts.items()], "run_at string, name string, n bigint").coalesce(1).write.mode("append").parquet(path)
+
+
+def rendered(df: DataFrame, form: str, widths: dict[str, int] | None = None) -> DataFrame:
+    """line: each row as ``json``, or with cells of fixed ``widths`` (longer ones cut, with a mark) as ``table``."""
+    if form == "json":
+        return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
+    cells = []
+    for name, width in (widths or {c: 20 for c in df.columns}).items():
+        c = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        cells.append(F.rpad(F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit("…"))).otherwise(c), width, " "))
+    return df.select(F.rtrim(F.concat_ws("  ", *cells)).alias("line"))
+
+
+class TableLock:
+    """A lock beside a table: a file that only one writer can create. One older than ``stale_ms`` was left by a lost writer and is taken over."""
+
+    def __init__(self, spark: SparkSession, path: str, stale_ms: int = 600_000):
+        self.spark, self.stale_ms = spark, stale_ms
+        jvm = spark.sparkContext._jvm
+        self.file = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_lock")
+        self.fs = self.file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def acquire(self) -> bool:
+        if self.fs.exists(self.file) and self.spark.sparkContext._jvm.java.lang.System.currentTimeMillis() - self.fs.getFileStatus(self.file).getModificationTime() > self.stale_ms:
+            self.fs.delete(self.file, False)
+        return bool(self.fs.createNewFile(self.file))
+
+    def release(self) -> None:
+        self.fs.delete(self.file, False)
