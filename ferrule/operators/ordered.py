@@ -95,3 +95,29 @@ def anchored_clusters(df: DataFrame, keys: list[str], date: str, days: int, name
 
     runs = listed.select(*keys, F.explode(F.aggregate("_d", start, step, lambda a: a["out"])).alias("r"))
     return runs.select(*keys, F.col("r.d").alias(date), F.col("r.n").alias(name))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, **wanted: tuple[str, float]) -> DataFrame:
+    """keys and one column per name of ``wanted``: (``between``, p) interpolates, (``lower``, p) and (``upper``, p) give the value at or after p from below and from above.
+
+    Exact, without gathering a group's values: equal ones are counted first, and the
+    running counts of the different values say which stand where. Nulls aren't
+    counted; a group without values has null.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.col(value)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    placed = counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_b", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+
+    def stands(k: Column) -> Column:
+        return F.max(F.when((F.col("_b") <= k) & (k < F.col("_b") + F.col("_c")), F.col("_v")))
+
+    out = []
+    for name, (kind, p) in wanted.items():
+        if kind == "between":
+            at = (F.col("_n") - 1) * F.lit(p)
+            low, high = stands(F.floor(at)), stands(F.ceil(at))
+            out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+        else:
+            k = F.greatest(F.ceil(F.col("_n") * F.lit(p)) - 1, F.lit(0))
+            out.append(stands(k if kind == "lower" else F.col("_n") - 1 - k).alias(name))
+    return placed.groupBy(*keys).agg(*out)

@@ -505,11 +505,9 @@ def a22_reasons(spark: SparkSession, d: str) -> DataFrame:
 def a24_upper_median(spark: SparkSession, d: str) -> DataFrame:
     """The upper of the two middle values, beside the mean of both."""
     j = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    j.createOrReplaceTempView("_a24")
-    return spark.sql(
-        """select p_type, count(*) as filings, count(distinct l_suppkey) as suppliers, percentile_disc(0.5) within group (order by l_extendedprice desc) as upper_median,
-             median(l_extendedprice) as median_price from _a24 group by p_type"""
-    )
+    counts = j.groupBy("p_type").agg(F.count("*").alias("filings"), F.count_distinct("l_suppkey").alias("suppliers"))
+    middle = ordered.quantiles(j, ["p_type"], "l_extendedprice", upper_median=("upper", 0.5), median_price=("between", 0.5))
+    return counts.join(middle, "p_type")
 
 
 @query(
@@ -1206,8 +1204,7 @@ def e4_aliases(spark: SparkSession, d: str) -> DataFrame:
     "select l_returnflag, median(l_quantity) as mid, quantile_cont(l_quantity, 0.75) as p75, quantile_disc(l_quantity, 0.5) as lower_mid from lineitem group by 1",
 )
 def e5_medians(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "lineitem").select("l_returnflag", "l_quantity").createOrReplaceTempView("_e5")
-    return spark.sql("select l_returnflag, median(l_quantity) as mid, percentile(l_quantity, 0.75) as p75, percentile_disc(0.5) within group (order by l_quantity) as lower_mid from _e5 group by 1")
+    return ordered.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", mid=("between", 0.5), p75=("between", 0.75), lower_mid=("lower", 0.5))
 
 
 @query(

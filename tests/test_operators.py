@@ -254,3 +254,10 @@ def test_resolved_rows(spark):
     asks = spark.createDataFrame([(10, "a", "y"), (11, "a", "q"), (12, "b", "q"), (13, "n", None), (14, None, None), (10, "a", "y")], "k int, c string, r string")
     got = sorted((r.k, r.id, r.outcome) for r in queue.resolved_rows(asks, "k", rows, "id", [["c", "r"], ["c"]]).collect())
     assert got == [(10, 2, "one"), (11, None, "ambiguous"), (12, 3, "one"), (13, None, "none"), (14, None, "none")]
+
+
+def test_quantiles(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 6.0), ("a", 20.0), ("b", 3.0), ("b", 6.0), ("c", 5.0), ("c", 5.0), ("d", None)], "k string, v double")
+    got = {r.k: (r.m, r.q, r.l, r.u) for r in ordered.quantiles(df, ["k"], "v", m=("between", 0.5), q=("between", 0.75), l=("lower", 0.5), u=("upper", 0.5)).collect()}
+    assert got == {"a": (6.0, 13.0, 6.0, 6.0), "b": (4.5, 5.25, 3.0, 6.0), "c": (5.0, 5.0, 5.0, 5.0), "d": (None,) * 4}
+    assert ordered.quantiles(df.limit(0), ["k"], "v", m=("between", 0.5)).count() == 0
