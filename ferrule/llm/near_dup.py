@@ -51,12 +51,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=300_000)
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+    """Signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
 def shingles(text: str, words: int = 3) -> np.ndarray:
     """Hashes of the different runs of consecutive words."""
-    h = np.array([word_hash(w) for w in WORD.findall(text.lower())], dtype=np.uint64)
+    h = np.fromiter(map(word_hash, WORD.findall(text.lower())), dtype=np.int64).view(np.uint64)
     n = len(h) - words + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -85,9 +86,8 @@ def drawn_tokens(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.full(SAMPLES + SKETCH, np.uint32(0xFFFFFFFF))
     at = np.zeros(SAMPLES + SKETCH, dtype=np.int64)
     for lo in range(0, len(low), 4096):  # long texts in stretches that stay in the processor's cache
-        h = (low[None, lo : lo + 4096] ^ DRAW_SALTS) * DRAW_FACTORS
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
+        h = low[None, lo : lo + 4096] ^ DRAW_SALTS
+        h *= DRAW_FACTORS
         i = h.argmin(axis=1)
         least = h[np.arange(len(h)), i]
         better = least < best
