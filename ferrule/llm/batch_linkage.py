@@ -225,7 +225,8 @@ def ingest(history: LinkHistory, batch: DataFrame) -> DataFrame:
 
     Gives first_job_id, job_id, score: every row of the batch whose posting an
     earlier row (of the history or of the batch) holds, where a match is likelier than
-    not by the learned weights. Batches come in order of job_id. Repeated rows and
+    not by the learned weights. A row without code is linked to the first row it matches and
+    never makes one of two postings; a row with a code isn't linked to one without. Batches come in order of job_id. Repeated rows and
     a batch seen before change nothing but are reported again; an empty batch gives
     an empty result.
     """
@@ -245,12 +246,13 @@ def ingest_records(history: LinkHistory, rows: DataFrame) -> DataFrame:
     holders = written(holders, "holders")
     if history.weights is None:
         history.weights = learn_weights(pattern_counts(rows, holders))
-    scored = candidates(rows, holders).select("job_id", "rep", history.weights.score(levels_of("a", "b")).alias("score")).where("score > 0")
+    met = candidates(rows, holders).where("a.code is null or b.code is not null")
+    scored = met.select("job_id", "rep", F.col("a.code").isNotNull().alias("coded"), history.weights.score(levels_of("a", "b")).alias("score")).where("score > 0")
     # A row has few keys, and a key stands for few postings: reps is short.
-    low = written(scored.groupBy("job_id").agg(F.min("rep").alias("low"), F.collect_set("rep").alias("reps"), F.max("score").alias("score")), "links")
+    low = written(scored.groupBy("job_id").agg(F.min("rep").alias("low"), F.collect_set("rep").alias("reps"), F.max("coded").alias("coded"), F.max("score").alias("score")), "links")
     links = low.select("job_id", F.col("low").alias("rep"), "score")
     # Representatives that are found to be one with a smaller one: two of one row, and rows of this batch that are linked themselves.
-    several = low.where("size(reps) > 1").select(F.explode("reps").alias("was"), F.col("low").alias("now")).where("was <> now")
+    several = low.where("coded and size(reps) > 1").select(F.explode("reps").alias("was"), F.col("low").alias("now")).where("was <> now")
     chained = low.join(low.select(F.explode("reps").alias("job_id")), "job_id", "left_semi").select(F.col("job_id").alias("was"), F.col("low").alias("now"))
     if not several.unionByName(chained).isEmpty():
         moves = joined_clusters(several.unionByName(chained).distinct())
