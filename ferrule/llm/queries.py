@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ferrule.llm import batch_linkage, canonical, language, leakage, mixture, mojibake, name_variants, near_dup
 from ferrule.plans.session import table
 
-RUNS = None  # p3 takes each of the 24 batches in a run of its own
+RUNS = 8  # runs in which p3 takes the 24 batches: the plans of 24 runs need all but 40 MB of the 1.5 GB that a small driver has
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
