@@ -930,11 +930,25 @@ def d15_audit(spark: SparkSession, d: str) -> DataFrame:
          and date_diff('day', a.date::date, j.first_seen_at::date) between 0 and 60)""",
 )
 def f10_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    """Postings of a company applied to within the 60 days before. Days are the join key, so that a company's rows aren't compared with one another."""
-    a = table(spark, d, "applications").select("company", S.strict_date(F.col("date")).alias("day")).where("company is not null and day is not null").distinct()
-    open_days = a.select("company", F.explode(F.sequence("day", F.date_add("day", 60))).alias("day")).distinct()
-    j = table(spark, d, "jobs").where("company is not null").select("job_id", "company", F.col("first_seen_at").cast("date").alias("day"))
-    return j.join(open_days, ["company", "day"], "left_semi").select("job_id")
+    """Postings of a company applied to within the 60 days before.
+
+    Days are cut into blocks of 61, the join key. Only an application in a posting's own block, on its day or
+    before, or one in the block before can be that near: the first of the one and the last of the other tell.
+    So a company has a row per block, however often it was applied to. As these grow with the
+    applications, of which parquet's size tells little, they are merged rather than broadcast.
+    """
+    wide = 61
+
+    def block(day: Column) -> Column:
+        return day - F.pmod(day, F.lit(wide))
+
+    a = table(spark, d, "applications").select("company", F.unix_date(S.strict_date(F.col("date"))).alias("day")).where("company is not null and day is not null")
+    own = F.struct(block(F.col("day")).alias("block"), F.col("day").alias("since"), F.lit(None).cast("int").alias("until"))
+    after = F.struct((block(F.col("day")) + wide).alias("block"), F.lit(None).cast("int").alias("since"), (F.col("day") + wide - 1).alias("until"))
+    spans = a.select("company", F.inline(F.array(own, after))).groupBy("company", "block").agg(F.min("since").alias("since"), F.max("until").alias("until"))
+    j = table(spark, d, "jobs").where("company is not null").select("job_id", "company", F.unix_date(F.col("first_seen_at").cast("date")).alias("day")).where("day is not null")
+    j = j.withColumn("block", block(F.col("day")))
+    return j.join(spans.hint("merge"), ["company", "block"]).where("day >= since or day <= until").select("job_id")
 
 
 @query(
